@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.llm.op1_hmm import op1_hmm
 from tessera.llm.op2_near_dedup import op2_near_dedup
 from tessera.llm.op7_quality import op7_quality
 from tessera.llm.op8_bpe import op8_bpe
 from tessera.llm.op9_langid import op9_langid
 
 QUERIES = {
+    "op1_hmm": op1_hmm,
     "op2_near_dedup": op2_near_dedup,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
