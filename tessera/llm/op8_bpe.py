@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -76,10 +77,26 @@ class SpeculativeBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.library = None
-        self.words: dict[str, list[int]] = {}
+        self.token_bytes = None
+        self.forget()
         self.fits: dict[int, bool] = {}
         self.own: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Remembered words: a row each of ``start`` and ``count``, which point into ``flat``."""
+        self.words: dict[str, int] = {}
+        self.start, self.count, self.flat = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        for text, i in self.special.items():
+            self._remember([text], [[i]])
+
+    def _remember(self, words: list[str], ids: list[list[int]]) -> None:
+        n = len(self.words)
+        self.words.update(zip(words, range(n, n + len(words))))
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))])
+
     def merge(self, word: bytes) -> list[int]:
         """Exact merging of one word: the lowest-ranked pair first, leftmost first."""
         return self._merge_long([self.id_of[word[i : i + 1]] for i in range(len(word))])
@@ -198,7 +215,7 @@ class SpeculativeBpe:
         failing = np.flatnonzero(~ok).tolist()
         for i, ids in zip(failing, self.merge_all([raw[i] for i in failing])):
             cuts[i] = ids
-        self.words.update(zip(new, cuts))
+        self._remember(new, cuts)
 
     def _own(self, t: int) -> bool:
         if (known := self.own.get(t)) is None:
@@ -219,29 +236,50 @@ class SpeculativeBpe:
             self.library = pre_tokenizers.ByteLevel(add_prefix_space=False)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin, with the end."""
         parts: list[list[str]] = []
-        special = False  # the texts of special tokens can't be words of the pattern: they are split before it
-        for text in texts:
+        for text in texts:  # the texts of special tokens can't be words of the pattern: they are split before it
             if self.split_special is not None and any(t in text for t in self.special):
-                special = True
                 own: list[str] = []
                 for piece in self.split_special.split(text):
                     own += [piece] if piece in self.special else self.split(piece)
                 parts.append(own)
             else:
                 parts.append(self.split(text))
-        here = set().union(*parts) - self.special.keys()
+        here = set().union(*parts)
         new = here - self.words.keys()
-        if len(self.words) + len(new) > MEMORY:
-            self.words, new = {}, here
+        if new and len(self.words) + len(new) > MEMORY:
+            self.forget()
+            new = here - self.words.keys()
         if new:
             self.learn(list(new))
-        find = {**self.words, **{t: [i] for t, i in self.special.items()}} if special else self.words
-        return [list(chain.from_iterable(map(find.__getitem__, own))) for own in parts]
+        n_words = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, int(n_words.sum()))
+        return _gather(self.flat, self.start[at], count := self.count[at]), np.append(0, np.cumsum(count))[np.append(0, np.cumsum(n_words))]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The text of each list of ids; invalid UTF-8 is replaced as the library does."""
+        if self.token_bytes is None:
+            count = np.array([len(b) for b in self.bytes_of])
+            self.token_bytes = (np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(count) - count, count)
+        raw, start, count = self.token_bytes
+        ends = np.append(0, np.cumsum(count[ids]))[offsets].tolist()
+        out = _gather(raw, start[ids], count[ids]).tobytes()
+        return [out[a:z].decode("utf-8", "replace") for a, z in zip(ends, ends[1:])]
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + count], one after the other."""
+    at = np.repeat(start - (np.cumsum(count) - count), count)
+    at += np.arange(len(at))
+    return flat[at]
+
 
-    def decode(self, ids) -> str:
-        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
+@lru_cache(2)
+def load(path: str) -> SpeculativeBpe:
+    """One vocabulary and its memory for each Python worker, kept from task to task."""
+    return SpeculativeBpe(path)
 
 
 def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -254,20 +292,22 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
     kept = [c for c in df.columns if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = SpeculativeBpe(tokenizer)
+        bpe = load(tokenizer)
         for b in batches:
             texts = [t or "" for t in b.column(kept.index(text)).to_pylist()]
-            found: list[list[int]] = []
+            found, ends = [], [np.zeros(1, np.int64)]
             group: list[str] = []
             size = 0
-            for t in texts:  # very long texts make small groups
+            for i, t in enumerate(texts):  # very long texts make small groups
                 group.append(t)
                 size += len(t)
-                if size > 2_000_000:
-                    found += bpe.encode(group)
+                if size > 2_000_000 or i + 1 == len(texts):
+                    flat, at = bpe.encode(group)
+                    found.append(flat)
+                    ends.append(at[1:] + ends[-1][-1])
                     group, size = [], 0
-            found += bpe.encode(group)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], names=[*kept, ids])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*kept, ids])
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, _added(df, ids, T.ArrayType(T.IntegerType())))
 
@@ -278,9 +318,10 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     kept = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = SpeculativeBpe(tokenizer)
+        bpe = load(tokenizer)
         for b in batches:
-            found = [bpe.decode(x or ()) for x in b.column(kept.index(ids)).to_pylist()]
+            lists = b.column(kept.index(ids)).fill_null([])
+            found = bpe.decode(lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy())))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*kept, text])
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, _added(df, text, T.StringType()))
