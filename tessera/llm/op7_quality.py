@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 4000
 def score(df: DataFrame, model: PuModel | None, text: str = "text") -> DataFrame:
     """``df`` without its text and with ``score`` in 0 to 1."""
     own = df.sparkSession.sparkContext.broadcast(model)  # a few kB whatever the input
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if c not in (text, "score")]
     names = df.columns
     narrow_batches(df.sparkSession)
 
