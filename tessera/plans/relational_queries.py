@@ -22,12 +22,12 @@ def _runs(spark, d):
     return o.groupBy(F.col("o_custkey").alias("task"), arm.alias("arm")).agg(F.avg("o_totalprice").alias("cost"), F.bool_and(F.col("o_orderstatus") != "P").alias("ok"), F.count("*").alias("n"))
 
 
-@query("j1_x1_paired_costs", f"WITH {_RUNS} SELECT b.task, round(b.cost, 4) AS base, round(o.cost, 4) AS other, round(1 - o.cost / b.cost, 6) AS reduction FROM runs b JOIN runs o ON b.task = o.task AND b.arm = 'base' AND o.arm = 'opt'")
+@query("j1_x1_paired_costs", f"WITH {_RUNS} SELECT b.task, round(b.cost, 6) AS base, round(o.cost, 6) AS other, round(1 - o.cost / b.cost, 6) AS reduction FROM runs b JOIN runs o ON b.task = o.task AND b.arm = 'base' AND o.arm = 'opt'")
 def _(spark, d):
     from tessera.operators.stats import paired
 
     p = paired(_runs(spark, d), ["task"], "arm", "base", "opt", "cost")
-    return p.select("task", F.round("base", 4).alias("base"), F.round("other", 4).alias("other"), F.round(1 - F.col("other") / F.col("base"), 6).alias("reduction"))
+    return p.select("task", F.round("base", 6).alias("base"), F.round("other", 6).alias("other"), F.round(1 - F.col("other") / F.col("base"), 6).alias("reduction"))
 
 
 @query("j2_missing_pairs", f"WITH {_RUNS} SELECT coalesce(b.task, o.task) AS task, CASE WHEN b.task IS NULL THEN 'base' ELSE 'opt' END AS missing FROM (SELECT * FROM runs WHERE arm = 'base') b FULL JOIN (SELECT * FROM runs WHERE arm = 'opt') o ON b.task = o.task WHERE b.task IS NULL OR o.task IS NULL")
