@@ -65,3 +65,11 @@ def test_trivial_baseline_asks_every_item(spark, sf):
         met = sorted((-len(split(r["text"]) & w), i) for i, w in docs)
         want |= {(r["item_id"], i, -n) for n, i in met[:5] if n}
     assert {tuple(r) for r in QUERIES["g18_trivial_baseline_all"](spark, sf).collect()} == want
+
+
+def test_eligible_brands_of_every_order(spark, sf):
+    caps = {}
+    for r in rows_of(spark, sf, "part").collect():
+        caps[r["p_brand"]] = max(r["p_size"], caps.get(r["p_brand"], r["p_size"]))
+    want = collections.Counter((r["o_orderkey"], b) for r in rows_of(spark, sf, "orders").collect() for b, cap in caps.items() if cap >= r["o_custkey"] % 60)
+    assert collections.Counter(tuple(r) for r in QUERIES["f10_eligible_all"](spark, sf).collect()) == want
