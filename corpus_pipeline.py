@@ -38,11 +38,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; ``n_chars`` follows the new text."""
     found = op3_pii.candidates(docs)
-    model, limits = op3_pii.fit(found)
+    models, limits = op3_pii.fit(found)
     # spans are found again in the row that they are cut from, so no join by id is needed
     own = docs.select("doc_id", "lang", "source", "text").withColumn("text", F.coalesce("text", F.lit("")))
     own = own.withColumn("whole", F.struct(*own.columns)).withColumn("doc_id", F.col("whole"))
-    spans = op3_pii.spans(op3_pii.candidates(own), model, limits).select(F.col("doc_id").alias("row"), F.col("all").alias("found"))
+    spans = op3_pii.spans(op3_pii.candidates(own), models, limits).select(F.col("doc_id").alias("row"), F.col("all").alias("found"))
     clean = spans.select("row.doc_id", op3_pii.redact(F.col("row.text"), F.col("found")).alias("text"), "row.lang", "row.source")
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -2,12 +2,14 @@
 
 Generators propose spans of four kinds with high recall: what the base patterns match, valid or not, and looser forms
 (spelled-out e-mail addresses, IPv6, telephone numbers without a plus). Candidates that the base rules accept are always
-kept. The others are judged by boosted trees over the candidate's format (digits, separators, length, variety of
-digits) and context (neighbouring characters, hint words before it). The trees learn from the base rules as distant
-labels: all candidates of the corpus are grouped by their features, a table of bounded size (the product of the small
-feature ranges), and fitted on the driver; they are applied as one SQL expression. Each kind has its threshold, calibrated
-as the lowest score at which the precision among all candidates stays at ``precision``; a kind without such a score adds
-nothing.
+kept; loose candidates that overlap one of those are no candidates of their own. The others are judged by boosted trees
+over the candidate's format (digits, separators, length, variety of digits, whether it fits its form's rules) and context
+(neighbouring characters, hint words before it), trees of its own for each kind and form. They learn from distant labels:
+the base rules for the base forms, and for the looser forms, which no base rule can accept, rules of their own (``_fits``).
+All candidates of the corpus are grouped by their features, a table of bounded size (the product of the small feature
+ranges), and fitted on the driver; the trees are applied as one SQL expression. Each kind and form has its threshold,
+calibrated as the lowest score at which the precision among all its candidates stays at ``precision``; one without such a
+score adds nothing.
 
 Edge cases: null and empty texts have no spans; empty tables, repeated rows and null ids are passed through row by row;
 spans that end together with the text, or fill it, are found; offsets count code points; further columns are ignored by
@@ -43,7 +45,7 @@ LOOSE = {
 #: Words before a candidate that hint at a kind, or at something else (the last group).
 HINTS = (r"(?i)mail", r"(?i)\bip\b|host|server|addr", r"(?i)card|visa|credit|pay", r"(?i)tel|phone|call|fax|mobil", r"(?i)token|key|order|isbn|serial|version|\bid\b|#|=")
 CONTEXT = 24
-FEATURES = ("kind", "digits", "marks", "length", "variety", "before", "after", "hint")
+FEATURES = ("kind", "form", "digits", "marks", "length", "variety", "before", "after", "hint", "fits")
 
 
 def _found(text: Column, pattern: str, kind: int, base: bool) -> Column:
@@ -82,6 +84,18 @@ def _valid(c: Column) -> Column:
     return F.when(c["base"], rule).otherwise(False)
 
 
+def _fits(c: Column) -> Column:
+    """Whether a loose candidate has the format of its kind: a domain that ends in letters, eight groups that are not all
+    pairs (those are hardware addresses), or area code and exchange of a telephone number."""
+    digits = F.regexp_replace(c["m"], "[^0-9]", "")
+    rule = (
+        F.when(c["kind"] == 0, c["m"].rlike(r"(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,24}$"))
+        .when(c["kind"] == 1, (F.size(F.split(c["m"], ":")) == 8) & ~c["m"].rlike("^[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2})*$"))
+        .otherwise(digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
+    )
+    return F.when(c["base"], F.lit(False)).otherwise(rule)
+
+
 def _side(ch: Column) -> Column:
     """Kind of a neighbouring character: 0 none or space, 1 letter, 2 digit, 3 other."""
     return F.when((ch == "") | ch.rlike(r"\s"), 0).when(ch.rlike(r"\p{L}"), 1).when(ch.rlike("[0-9]"), 2).otherwise(3)
@@ -97,6 +111,7 @@ def _described(text: Column, c: Column) -> Column:
     before = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")
     return F.struct(
         c["kind"].alias("kind"),
+        F.when(c["base"], 0).otherwise(1).alias("form"),
         start.alias("start"),
         (start + F.length(m)).alias("end"),
         _valid(c).alias("valid"),
@@ -107,9 +122,20 @@ def _described(text: Column, c: Column) -> Column:
         _side(before).alias("before"),
         _side(F.substring(text, start + F.length(m) + 1, F.lit(1))).alias("after"),
         hint.alias("hint"),
+        _fits(c).cast("int").alias("fits"),
     )
 
 
+def _label(c: Column) -> Column:
+    """What training and calibration count as right: the base rules or, for loose forms, the format and, for digits alone, no
+    hint at something else."""
+    return F.when(c["form"] == 0, c["valid"]).otherwise((c["fits"] == 1) & ((c["kind"] != 3) | (c["hint"] < len(HINTS))))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs (doc_id, text) as doc_id and ``candidates``, an array of described spans by start."""
     t = F.col("t")
@@ -124,7 +150,13 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     wide = lambda c: (c["kind"] != 2) | (F.length(F.regexp_replace(c["m"], "[^0-9]", "")) >= 9)
     out = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
     out = out.select("doc_id", "t", F.filter(F.concat(*parts), wide).alias("found"))
-    return out.select("doc_id", F.transform("found", lambda c: _described(F.col("t"), c)).alias("candidates"))
+    own = F.transform("found", lambda c: _described(F.col("t"), c))
+
+    def apart(all_: Column) -> Column:
+        """Without the loose candidates that overlap an accepted base span."""
+        return let(F.filter(all_, lambda c: c["valid"]), lambda base: F.filter(all_, lambda c: (c["form"] == 0) | ~F.exists(base, lambda b: _overlap(b, c))))
+
+    return out.select("doc_id", let(own, apart).alias("candidates"))
 
 
 class BoostedTrees:
@@ -194,46 +226,43 @@ class BoostedTrees:
         return reduce(lambda a, t: a + F.when(below(t[0]), of(t[1])).otherwise(of(t[2])), self.trees, F.lit(self.first))
 
 
-def fit(found: DataFrame, precision: float = 0.98) -> tuple[BoostedTrees | None, dict[int, float]]:
-    """Trees and a threshold for each kind, from all candidates of ``found``."""
+def fit(found: DataFrame, precision: float = 0.98) -> tuple[dict[tuple[int, int], BoostedTrees], dict[tuple[int, int], float]]:
+    """Trees and a threshold for each kind and form, from all candidates of ``found``."""
     import numpy as np
 
-    rows = found.select(F.explode("candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum(F.col("c.valid").cast("int")).alias("good")).collect()
-    if not rows:
-        return None, {}
+    rows = found.select(F.explode("candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum(_label(F.col("c")).cast("int")).alias("good")).collect()
     rows.sort()
-    x = np.array([[r[f] for f in FEATURES] for r in rows])
-    w = np.array([r["n"] for r in rows], float)
-    good = np.array([r["good"] for r in rows], float)
-    model = BoostedTrees().fit(x, good / w, w)
-    z, limits = model.margins(x), {}
-    for k in range(len(KINDS)):
-        own = np.flatnonzero(x[:, 0] == k)
-        own = own[np.argsort(-z[own], kind="stable")]
-        sure = np.cumsum(good[own]) >= precision * np.cumsum(w[own])
-        if sure.any() and good[own].sum():
-            last = np.flatnonzero(sure)[-1]
-            tied = z[own] >= z[own[last]] - 1e-9  # rows of one score stand or fall together
-            if good[own][tied].sum() >= precision * w[own][tied].sum():
-                limits[k] = float(z[own[last]] - 1e-9)
-    return model, limits
-
-
-def spans(found: DataFrame, model: BoostedTrees | None, limits: dict[int, float]) -> DataFrame:
+    models, limits = {}, {}
+    for form in sorted({(r["kind"], r["form"]) for r in rows}):
+        own = [r for r in rows if (r["kind"], r["form"]) == form]
+        x = np.array([[r[f] for f in FEATURES] for r in own])
+        w = np.array([r["n"] for r in own], float)
+        good = np.array([r["good"] for r in own], float)
+        model = BoostedTrees().fit(x, good / w, w)
+        z = model.margins(x)
+        order = np.argsort(-z, kind="stable")
+        z, w, good = z[order], w[order], good[order]
+        ends = np.append(np.flatnonzero(z[:-1] - z[1:] > 1e-9), len(z) - 1)  # rows of one score stand or fall together
+        sure = ends[np.cumsum(good)[ends] >= precision * np.cumsum(w)[ends]]
+        if len(sure) and good.sum():
+            models[form], limits[form] = model, float(z[sure[-1]] - 1e-9)
+    return models, limits
+
+
+def spans(found: DataFrame, models: dict[tuple[int, int], BoostedTrees] | None, limits: dict[tuple[int, int], float]) -> DataFrame:
     """doc_id, ``base`` and ``all``: arrays of (start, kind, end), by start and then kind."""
     row = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("candidates", lambda c: c["valid"]), row))
-    if model is None or not limits:
+    if not models or not limits:
         return found.select("doc_id", base.alias("base"), base.alias("all"))
 
     def sure(c: Column) -> Column:
-        at_least = reduce(lambda w, kv: w | (c["kind"] == kv[0]) & (model.expression(c) >= kv[1]), limits.items(), F.lit(False))
+        at_least = reduce(lambda w, kv: w | (c["kind"] == kv[0][0]) & (c["form"] == kv[0][1]) & (models[kv[0]].expression(c) >= kv[1]), limits.items(), F.lit(False))
         return ~c["valid"] & at_least
 
     more = F.transform(F.filter("candidates", sure), row)
     out = found.select("doc_id", base.alias("base"), F.array_sort(more).alias("more"))
-    overlaps = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = lambda acc, c: ~F.exists(acc, lambda b: overlaps(b, c))
+    free = lambda acc, c: ~F.exists(acc, lambda b: _overlap(b, c))
     return out.select("doc_id", "base", F.array_sort(F.aggregate("more", F.col("base"), lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(c))).otherwise(acc))).alias("all"))
 
 
