@@ -86,6 +86,61 @@ def licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_dice: f
     return hits.groupBy("doc_id", F.col("h.license").alias("license")).agg(F.count("*").alias("n_units"), F.round(F.max("h.dice"), 6).alias("dice"))
 
 
+#: What ``notices`` looks for besides.
+NOTICES = TEMPLATES | {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-or-later header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "BSD short": "Released under the BSD License.",
+    "BSD short licensed": "Licensed under the BSD License.",
+    "BSD-3-Clause": TEMPLATES["BSD-2-Clause"] + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-3-Clause short": "Licensed under the BSD 3-Clause License.",
+    "GPL-2.0-or-later header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-or-later header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-or-later header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "MIT short licensed": "Licensed under the MIT License.",
+    "MIT short project": "This project is licensed under the MIT License.",
+    "MIT short released": "This project is released under the MIT License.",
+}
+#: Where a run may begin or end: lines, sentences and their parts.
+CUTS = r"\n|(?<=[.!?;:,)])\s+|\s+(?=\()"
+
+
+def notices(docs: DataFrame, templates: dict[str, str] = NOTICES, min_dice: float = MIN_DICE) -> DataFrame:
+    """doc_id, license, n_units, dice as ``licences``, where the units are all runs of consecutive parts of a text (see
+    ``CUTS``; empty parts do not count) of at most (2 - d) / d times a template's words. Of runs that overlap, the one most
+    like its template counts, of equal ones the longest.
+
+    A run shares d / (2 - d) of a template's bigrams at least, and so must the whole text: only such pairs of text and template
+    are cut into runs.
+    """
+    sets = {name: template_bigrams(t) for name, t in templates.items()}
+    low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
+    every = F.array(*[F.lit(b) for b in sorted(set().union(*sets.values()))])
+    size = lambda t: len("".join(c if c.isascii() and c.isalnum() else " " for c in t).split())
+    each = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*[F.lit(x) for x in b]).alias("b"), F.lit(int(high * size(templates[n]))).alias("most")) for n, b in sets.items()])
+    own = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    own = own.withColumn("shared", F.array_intersect(bigrams(normalised(F.col("text"))), every)).where(F.size("shared") >= low * min(map(len, sets.values())))
+    own = own.withColumn("t", F.explode(F.filter(each, lambda t: F.size(F.array_intersect("shared", t["b"])) >= low * F.size(t["b"]))))
+    own = own.withColumn("parts", F.filter(F.transform(F.split("text", CUTS), normalised), lambda p: p != "")).select("doc_id", "row", "t", "parts", F.transform("parts", lambda p: F.size(F.split(p, " "))).alias("words"))
+    own = own.select("*", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("start"))
+    # every part has a word, so no run within the bounds has more parts than words
+    ends = F.sequence("start", F.least(F.size("parts"), F.col("start") + F.col("t.most")))
+    fits = lambda e: F.aggregate(F.slice("words", F.col("start"), e - F.col("start") + 1), F.lit(0), lambda a, w: a + w).between(low * F.size("t.b") + 1, F.col("t.most"))
+    own = own.select("doc_id", "row", "t", "parts", "start", F.explode(F.filter(ends, fits)).alias("end"))
+    own = own.withColumn("u", bigrams(F.array_join(F.slice("parts", F.col("start"), F.col("end") - F.col("start") + 1), " ")))
+    own = own.withColumn("dice", 2.0 * F.size(F.array_intersect("u", "t.b")) / (F.size("u") + F.size("t.b"))).where(F.col("dice") >= min_dice)
+    run = F.struct((-F.col("dice")).alias("d"), (F.col("start") - F.col("end")).alias("n"), "start", "end", F.col("t.license").alias("license"))
+    runs = own.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    same = lambda a, b: (a["d"] == b["d"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
+    apart = lambda a, b: (a["end"] < b["start"]) | (b["end"] < a["start"])
+    none = F.array().cast(runs.schema["runs"].dataType)
+    best = F.aggregate("runs", none, lambda acc, r: F.when(F.forall(acc, lambda a: apart(a, r) | same(a, r)), F.concat(acc, F.array(r))).otherwise(acc))
+    hits = runs.select("doc_id", F.explode(best).alias("h"))
+    return hits.groupBy("doc_id", F.col("h.license").alias("license")).agg(F.count("*").alias("n_units"), F.round(F.max(-F.col("h.d")), 6).alias("dice"))
+
+
 def oracle_sql(templates: dict[str, str] = TEMPLATES, min_dice: float = MIN_DICE) -> str:
     """The same in DuckDB SQL, without any pruning."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
@@ -106,3 +161,7 @@ FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, text, unit) AS best FROM sc
 
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
+
+
+def op10_license_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices(table(spark, sf_dir, "documents"))

@@ -24,5 +24,6 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
     "op10_license": op10_license.op10_license,
+    "op10_license_runs": op10_license.op10_license_runs,
 }
 ORACLE_SQL = {"op10_license": op10_license.oracle_sql()}
