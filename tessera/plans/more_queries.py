@@ -34,7 +34,7 @@ def _(spark, d):
 def _(spark, d):
     from tessera.functions.payloads import redact_command
 
-    return table(spark, d, "documents").select("doc_id", F.md5(redact_command(F.substring("text", 1, 400)).cast("binary")).alias("md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(redact_command(F.col("text")).cast("binary")).alias("md5"))
 
 
 @query("t26_t27_content_kind", r"SELECT page_id AS id, CASE WHEN regexp_matches(trim(html), '(?i)^(<!doctype html|<html)') THEN 'html' ELSE 'plain' END AS kind FROM pages UNION ALL SELECT event_id, CASE WHEN regexp_matches(props, '^[\[{]') AND json_valid(props) THEN 'json' ELSE 'plain' END FROM events")

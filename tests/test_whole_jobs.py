@@ -1,6 +1,7 @@
 """Queries over whole tables, against brute force or SQL of their own."""
 
 import collections
+import hashlib
 import math
 
 import pytest
@@ -73,3 +74,11 @@ def test_eligible_brands_of_every_order(spark, sf):
         caps[r["p_brand"]] = max(r["p_size"], caps.get(r["p_brand"], r["p_size"]))
     want = collections.Counter((r["o_orderkey"], b) for r in rows_of(spark, sf, "orders").collect() for b, cap in caps.items() if cap >= r["o_custkey"] % 60)
     assert collections.Counter(tuple(r) for r in QUERIES["f10_eligible_all"](spark, sf).collect()) == want
+
+
+def test_redaction_reads_the_whole_text(spark, tmp_path):
+    texts = ["token=" + "x" * 390 + " and " + "tail " * 100, "a" * 300 + " password=" + "y" * 200 + " end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = ["token=[REDACTED] and " + "tail " * 100, "a" * 300 + " password=[REDACTED] end"]
+    got = {r["doc_id"]: r["md5"] for r in QUERIES["t12_redact_command"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(t[:320].encode()).hexdigest() for i, t in enumerate(want)}
