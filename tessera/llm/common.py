@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOCAL: list[str] = []
-_WRITTEN: list[str] = []
+#: Paths written by the calls now running, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,31 +35,37 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
+def new_path(spark: SparkSession, tag: str, result: bool = False) -> str:
+    """A path in the shared folder. The ``scratch`` block around it deletes it; a result belongs to the block further out, if any."""
     path = f"{shared_dir(spark)}/tessera_{uuid.uuid4().hex}_{tag}"
-    _WRITTEN.append(path)
+    at = len(_SCOPES) - (2 if result else 1)
+    if at >= 0:
+        _SCOPES[at].append(path)
     return path
 
 
-def keep(path: str) -> None:
-    """Take a path out of what ``release`` deletes."""
-    _WRITTEN.remove(path)
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, result: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read that table back."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = new_path(spark, tag, result)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what ``materialise`` wrote so far; call it only when no frame over those tables is in use."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for results; tables of other calls stay."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -73,9 +83,11 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))
 
 
-def narrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what an Arrow batch of whole texts may hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of at most so many rows: bounds what a step over whole texts holds at once."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,15 +6,19 @@ of the 64 symbols have a chunk with at most one error, so each class is filed un
 of one chunk (all allowed errors of all chunks), and every pair within that distance meets in a bucket. Distance counts
 symbols, not single bits: at a similarity of 0.75 a quarter of the symbols differ, and over single bits such a radius
 would put every pair of documents into some bucket. At similarity 0.75 the chance to differ in more than 31 of 64 symbols
-is below 1 in 50,000. In a bucket, pairs are first held to the distance over all 512 symbols (low 4 bits; MAX_DIFFERENT is
-3.7 standard deviations above the mean at 0.75) and to the ratio of the set sizes, then confirmed on the full sets.
+is below 1 in 50,000. Pairs of a bucket are first held to the distance over all 512 symbols (low 4 bits; MAX_DIFFERENT is
+5.2 standard deviations above the mean at 0.75) and to the ratio of the set sizes, then confirmed on the full sets.
 
-No bucket ever yields all its pairs: two star rounds link members to a pivot of their bucket, and components are formed;
-only then pairs across components are looked at, in blocks. Buckets that stay large are dealt anew by a second chunk key.
+No bucket ever yields all its pairs. Two star rounds pair every member with the pivot of its bucket, by an equi-join on the
+bucket's key, and components are formed; only then pairs across components are looked at. There a bucket is split into
+blocks of about BLOCK_ROWS rows: rows of one (large) component are dealt over blocks, the other rows meet each of them, so
+no task holds more than two blocks, whatever the bucket's size. Classes are numbered in the order of their least doc_id, so
+the least number of a component is that of its least doc_id.
 
 Edge cases: null, empty and blank texts have the empty set, are linked with nothing and are their own component; texts of
-fewer than five words have one shingle; repeated rows and repeated ids share a class; a null doc_id never names a
-component unless all its members are null, then component_id is null; an empty table gives an empty table.
+fewer than five words have one shingle; repeated rows share a class; rows of one id with different texts are judged one by
+one; a null doc_id never names a component unless all its members are null, then component_id is null and all are kept; an
+empty table gives an empty table; further columns are ignored but for those named in ``also``.
 """
 
 from __future__ import annotations
@@ -25,35 +29,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import materialise, narrow_batches, table
+from tessera.llm.common import materialise, pieces, scratch, table
 from tessera.llm.graph import components
 from tessera.llm.shingles import mix, set_digest, shingle_set, signatures
 
 SYMBOLS, KEY_SYMBOLS, CHUNK = 512, 64, 4
 #: Of 512 symbols with 4 bits kept: mean 120 and standard deviation 9.6 at similarity 0.75.
-MAX_DIFFERENT = 156
-#: Size of the bitmap of needed documents: 1 MB.
-SLOT_BITS = 23
-#: Buckets of more rows across components are dealt anew by a second key.
-LARGE = 3000
+MAX_DIFFERENT = 170
+#: Bits of the bitmap of needed documents for each of them, and its bounds (32 KB to 128 MB, broadcast).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 18, 30
+#: Rows of a block of a bucket.
+BLOCK_ROWS = 2000
 
 
-def _digested(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (16 bytes, null for the empty set) and signature of each row."""
+def _digested(docs: DataFrame, also: list[str]) -> DataFrame:
+    """doc_id, further columns, n_shingles, class (16 bytes, null for the empty set) and signature of each row of (text, doc_id, also)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+        for b in pieces(batches):
+            sets = [shingle_set(t) for t in b.column(0).to_pylist()]
             sigs = [signatures(s, SYMBOLS) if len(s) else None for s in sets]
             keys = [None if x is None else x[:KEY_SYMBOLS].tobytes() for x in sigs]
             low = [None if x is None else _pack(x) for x in sigs]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.binary()), pa.array(low, pa.binary())],
-                names=["doc_id", "n_shingles", "class", "symbols", "sketch"],
-            )
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.binary()), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=["doc_id", *also, "n_shingles", "class", "symbols", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class binary, symbols binary, sketch binary")
+    own = docs.select("text", "doc_id", *also)
+    more = T.StructType(own.schema.fields[1:]).add("n_shingles", "long").add("class", "binary").add("symbols", "binary").add("sketch", "binary")
+    return own.mapInArrow(run, more)
 
 
 def _pack(sig: np.ndarray) -> bytes:
@@ -149,70 +154,51 @@ def _different(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((z & 15) != 0).sum(-1, dtype=np.int32) + ((z >> 4) != 0).sum(-1, dtype=np.int32)
 
 
-def _near(g: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    n, m = g["n"][a], g["n"][b]
-    return np.minimum(n, m) * 100 >= np.maximum(n, m) * 75
-
-
-def _star(round_no: int):
-    def each(g: dict[str, np.ndarray]) -> list[tuple]:
-        """(member, pivot, distance); pivot -1: the member may have other partners, and its set will be needed."""
-        cid, lab, sk = g["cid"], g["label"], g["sketch"]
-        order = mix(cid.astype(np.uint64) ^ mix(g["key"][:1].astype(np.uint64) + np.uint64(round_no)))
-        p = int(order.argmin())
-        every = np.arange(len(cid))
-        d = _different(sk, sk[p])
-        ok = (d <= MAX_DIFFERENT) & (lab != lab[p]) & _near(g, every, np.full(len(cid), p))
-        found = [(int(c), int(cid[p]), int(x)) for c, x in zip(cid[ok], d[ok])]
-        if len(cid) <= 48 and not round_no:
-            near = (_different(sk[:, None], sk[None]) <= MAX_DIFFERENT).sum(1) > 1
-            found += [(int(c), -1, 0) for c in cid[near]]
-        elif not round_no:
-            found += [(int(c), -1, 0) for c in cid]
-        return found
-
-    return each
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with set sizes and sketches, those near enough: u, v, distance and the other columns before the sketches."""
+    for b in pieces(batches, 8192):
+        n, m, x, y = (b.column(i) for i in range(4))
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (x, y))
+        n, m = n.to_numpy(), m.to_numpy()
+        d = _different(x, y)
+        ok = pa.array((d <= MAX_DIFFERENT) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * 75))
+        yield pa.RecordBatch.from_arrays([*(c.filter(ok) for c in b.columns[4:]), pa.array(d.astype(np.int64)).filter(ok)], names=["u", "v", "lu", "lv", "d"])
 
 
 def _cross(g: dict[str, np.ndarray]) -> list[tuple]:
-    """All pairs across components that pass the distance, block by block."""
-    cid, lab, sk = g["cid"], g["label"], g["sketch"]
+    """All pairs across components, and across sides where the group has two, that pass the distance, block by block."""
+    cid, lab, sk, side, key, sym = g["cid"], g["label"], g["sketch"], g["side"], g["key"], g["symbols"]
     every = np.arange(len(cid))
     found: list[tuple] = []
     for a in range(0, len(cid), 128):
         x = slice(a, a + 128)
         for b in range(a, len(cid), 512):
             y = slice(b, b + 512)
-            apart = (lab[x, None] != lab[None, y]) & (every[x, None] < every[None, y])
+            apart = (lab[x, None] != lab[None, y]) & (every[x, None] < every[None, y]) & (key[x, None] == key[None, y])
+            apart &= (side[x, None] != side[None, y]) | (side[x, None] < 0)
             n, m = g["n"][x, None], g["n"][None, y]
             apart &= np.minimum(n, m) * 100 >= np.maximum(n, m) * 75
             i, j = np.nonzero(apart)
             if len(i):
                 ok = _different(sk[x][i], sk[y][j]) <= MAX_DIFFERENT
-                if "symbols" in g and ok.any():  # a pair is told in the first of its buckets only
-                    sym = g["symbols"]
-                    ok[ok] = first_key(sym[x][i[ok]], sym[y][j[ok]]) == int(g["key"][0]) >> 48
-                u, v = cid[x][i[ok]], cid[y][j[ok]]
-                found += zip(np.maximum(u, v).tolist(), np.minimum(u, v).tolist())
+                if ok.any():  # a pair is told in the first of its buckets only
+                    ok[ok] = first_key(sym[x][i[ok]], sym[y][j[ok]]) == key[x][i[ok]] >> 48
+                i, j = i[ok], j[ok]
+                found += zip(cid[x][i].tolist(), cid[y][j].tolist(), lab[x][i].tolist(), lab[y][j].tolist())
     return found
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """2**SLOT_BITS flags, whatever the number of ids: where one of them hashes to. Built by a partial aggregation of its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = _slots(b.column(0).to_numpy()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> 5).astype(np.int32)), pa.array(np.int64(1) << (slot & 31))], names=["word", "bits"])
-
-    flags = np.zeros(1 << SLOT_BITS, bool)
-    for r in ids.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-        flags[r["word"] * 32 : r["word"] * 32 + 32] = [r["bits"] >> i & 1 for i in range(32)]
-    return np.packbits(flags)
+def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is perhaps among ``ids``: tested on a broadcast bitmap, within the JVM."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(1, ids.count()) - 1).bit_length()))
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    place = ids.select(slot("rep_id").alias("slot"))
+    bitmap = place.groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    own = docs.withColumn("slot", slot("doc_id"))
+    met = own.join(F.broadcast(bitmap), F.bitmap_bucket_number("slot") == F.col("page"))
+    at = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*docs.columns)
 
 
 def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,31 +211,30 @@ def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """cid and full set of the classes in ``needed``, made again from the text of a document of each.
-
-    A bitmap of fixed size lets tasks pass over most texts that aren't needed; it may let others through, and the join decides.
-    """
+    """cid and full set of the classes in ``needed`` (cid), made again from the text of a document of each."""
     own = materialise(classes.join(needed, "cid", "left_semi").select("cid", "rep_id", "class"), "needed")
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(own.select("rep_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(shared.value).astype(bool)
-        for b in batches:
-            b = b.filter(b.column(0).is_valid())
-            b = b.filter(pa.array(flags[_slots(b.column(0).to_numpy())]))
+        for b in pieces(batches):
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep_id", "class", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "class", "shingles"])
 
-    made = docs.select("doc_id", "text").mapInArrow(run, "rep_id long, class binary, shingles binary")
-    return made.join(own, ["rep_id", "class"]).groupBy("cid").agg(F.first("shingles").alias("shingles"))
+    # a class without any id is found by its digest alone, among the rows without one
+    rows = _needed(docs.where(F.col("doc_id").isNotNull()), own.where(F.col("rep_id").isNotNull()).select("rep_id"))
+    made = rows.unionByName(docs.where(F.col("doc_id").isNull())).mapInArrow(run, "id long, class binary, shingles binary")
+    own = own.withColumnRenamed("class", "of")
+    made = made.join(own, (F.col("class") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep_id")))
+    return materialise(made.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= min_percent * union."""
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, min_percent: int) -> DataFrame:
+    """The pairs (u, v, lu, lv) whose full sets have 100 * intersection >= min_percent * union: lu, lv as u, v."""
+    pairs = materialise(pairs.select("u", "v", "lu", "lv"), "pairs")
+    sets = _sets(docs, classes, pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct())
     both = pairs.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("cid").alias("v"), F.col("shingles").alias("sv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -258,69 +243,87 @@ def _verify(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
             keep = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["u", "v"])
 
-    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return both.select("lu", "lv", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Bucket rows (key, cid) with the component known so far."""
+    if labels is None:
+        return met.withColumn("label", F.col("cid"))
+    return met.join(labels, met.cid == labels.node, "left").select("key", "cid", F.coalesce("comp", "cid").alias("label"))
+
+
+def _buckets(rows: DataFrame, round_no: int) -> DataFrame:
+    """Of each bucket with several components: a pivot, its component and the number of rows. Pivots follow one order of all
+    classes, another one each round, so buckets with the same members have the same pivot."""
+    order = F.struct(F.xxhash64(F.lit(round_no), "cid").alias("o"), "cid", "label")
+    seen = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("rows"), F.min(order).alias("p")).where("a < z")
+    return seen.select("key", "rows", F.col("p.cid").alias("pivot"), F.col("p.label").alias("big"))
+
+
+def _merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Components of classes, from those known before and the components of these."""
+    if old is None:
+        return new
+    n = new.select(F.col("node").alias("was"), F.col("comp").alias("now"))
+    moved = old.join(n, old.comp == F.col("was"), "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    return materialise(moved.union(new.join(old.select("node"), "node", "left_anti").select("node", "comp")), "labels")
+
+
+def linked(docs: DataFrame, min_percent: int = 75, also: list[str] | None = None) -> DataFrame:
+    """doc_id, ``also``, n_shingles, component_id, kept and label (the component's number, null for the empty set) of each row of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    also = also or []
+    with scratch(spark):
+        rows = materialise(_digested(docs, also), "digested")
+        docs = docs.select("doc_id", "text")
+        classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n"), F.first("symbols").alias("symbols"), F.first("sketch").alias("sketch"))
+        classes = materialise(classes, "unnumbered").orderBy(F.col("rep_id").asc_nulls_last(), "class")
+        classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+        # sets of one or two shingles are near no other set
+        filed = classes.where(F.col("n") > 2).select("cid", "symbols").mapInArrow(_keys, "key long, cid long")
+        met = materialise(filed.repartition("key").sortWithinPartitions("key").mapInArrow(_multi, "key long, cid long"), "buckets")
+        sketched = classes.select("cid", "n", "sketch")
+        labels = None
+
+        for round_no in range(2):
+            own = _labelled(met, labels)
+            stars = own.join(_buckets(own, round_no), "key").where("label <> big").select(F.col("cid").alias("u"), F.col("pivot").alias("v"), F.col("label").alias("lu"), F.col("big").alias("lv")).distinct()
+            x, y = (sketched.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
+            close = stars.join(x, "u").join(y, "v").select("nu", "nv", "su", "sv", "u", "v", "lu", "lv").mapInArrow(_close, "u long, v long, lu long, lv long, d long")
+            best = close.groupBy("u").agg(F.min(F.struct("d", "v", "lu", "lv")).alias("best")).select("u", "best.*")
+            labels = _merged(labels, components(_verify(best, docs, classes, min_percent)))
+
+        own = _labelled(met, labels)
+        own = materialise(own.join(_buckets(own, 2), "key").select("key", "cid", "label", "rows", (F.col("label") == F.col("big")).alias("in_big")), "rest")
+        minor = own.groupBy("key").agg(F.count_if(~F.col("in_big")).alias("minor"))
+        blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+        own = own.join(minor, "key").withColumn("g", blocks(F.col("rows") - F.col("minor"))).withColumn("h", blocks(F.col("minor")))
+        own = own.withColumn("at", F.pmod(F.xxhash64("cid"), F.when(F.col("in_big"), F.col("g")).otherwise(F.col("h"))).cast("int"))
+        groups = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+        place = lambda kind, i, j, side: F.struct(F.xxhash64(F.lit(kind), "key", i, j).alias("gid"), side.cast("int").alias("side"))
+        at = F.col("at")
+        among = groups(F.col("h"), lambda j: place(1, F.least(at, j), F.greatest(at, j), F.when(at == j, -1).otherwise((at > j).cast("int"))))
+        dealt = F.when(F.col("in_big"), groups(F.col("h"), lambda j: place(0, at, j, F.lit(1)))).otherwise(F.concat(groups(F.col("g"), lambda i: place(0, i, at, F.lit(0))), among))
+        names = ["gid", "key", "cid", "label", "side", "n", "sketch", "symbols"]
+        spread = own.join(classes.select("cid", "n", "sketch", "symbols"), "cid").select("*", F.explode(dealt).alias("x")).select("*", "x.*").select(*names)
+        four = pa.schema([(c, pa.int64()) for c in ("u", "v", "lu", "lv")])
+        pairs = spread.repartition("gid").sortWithinPartitions("gid").mapInArrow(_grouped(names, _cross, four), "u long, v long, lu long, lv long")
+        labels = _merged(labels, components(_verify(pairs, docs, classes, min_percent)))
+
+        named = materialise(classes.join(labels, classes.cid == labels.node, "left").select("class", F.coalesce("comp", "cid").alias("label")), "named")
+        least = classes.select(F.col("cid").alias("label"), F.col("rep_id").alias("component_id"))
+        of_class = named.join(least, "label").select(F.col("class").alias("of"), "label", "component_id")
+        out = rows.drop("symbols", "sketch").join(of_class, F.col("class") == F.col("of"), "left")
+        component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        out = out.select("doc_id", *also, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "label")
+        return materialise(out, "linked", result=True)
 
 
 def near_duplicates(docs: DataFrame, min_percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    narrow_batches(spark, 1024)
-    docs = docs.select("doc_id", "text")
-    rows = materialise(_digested(docs), "digested")
-    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n"), F.first("symbols").alias("symbols"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    # sets of one or two shingles are near no other set, and a class of only null ids is left to itself
-    filed = classes.where((F.col("n") > 2) & F.col("rep_id").isNotNull()).select("cid", "symbols").mapInArrow(_keys, "key long, cid long")
-    met = materialise(filed.repartition("key").sortWithinPartitions("key").mapInArrow(_multi, "key long, cid long"), "buckets")
-    links = labels = sets = None
-    pair_schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.int64())])
-    names = ["key", "cid", "label", "n", "sketch"]
-
-    def labelled() -> DataFrame:
-        """Bucket rows with their component; from the second round on, only of buckets with several."""
-        if labels is None:
-            return met.withColumn("label", F.col("cid"))
-        own = met.join(labels, met.cid == labels.node, "left").select("key", "cid", F.coalesce("comp", "cid").alias("label"))
-        several = own.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("rows")).where("a < z")
-        return own.join(several.select("key", "rows"), "key")
-
-    def sorted_by_key(df: DataFrame, names: list[str] = names) -> DataFrame:
-        return df.join(classes.select("cid", "n", "sketch", "symbols"), "cid").select(*names).repartition("key").sortWithinPartitions("key")
-
-    for round_no in range(2):
-        stars = sorted_by_key(labelled()).mapInArrow(_grouped(names, _star(round_no), pair_schema), "u long, v long, d long")
-        best = stars.groupBy("u").agg(F.min(F.when(F.col("v") >= 0, F.struct("d", "v"))).alias("best"))
-        best = materialise(best, "stars")
-        if sets is None:
-            needed = best.select(F.col("u").alias("cid")).union(best.where("best is not null").select("best.v")).distinct()
-            sets = materialise(_sets(docs, classes, needed), "sets")
-        found = materialise(_verify(best.where("best is not null").select("u", F.col("best.v").alias("v")), sets, min_percent), "links")
-        links = found if links is None else links.union(found)
-        labels = materialise(components(links), "labels")
-
-    rest = materialise(labelled(), "rest")
-    two = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    many = rest.where(F.col("rows") > LARGE)
-    if many.isEmpty():
-        told_once = [*names, "symbols"]
-        pairs = sorted_by_key(rest, told_once).mapInArrow(_grouped(told_once, _cross, two), "u long, v long")
-    else:
-        few = sorted_by_key(rest.where(F.col("rows") <= LARGE)).mapInArrow(_grouped(names, _cross, two), "u long, v long")
-        # two signatures that meet here and differ in at most 29 symbols also agree in another chunk, up to one error
-        again = many.join(met.select(F.col("cid"), F.col("key").alias("other")), "cid").where(F.shiftright("key", 50) != F.shiftright("other", 50))
-        again = again.select(F.xxhash64("key", "other").alias("key"), "cid", "label")
-        several = again.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a < z").select("key")
-        pairs = few.union(sorted_by_key(again.join(several, "key", "left_semi")).mapInArrow(_grouped(names, _cross, two), "u long, v long"))
-    found = materialise(_verify(materialise(pairs.distinct(), "pairs"), sets, min_percent), "links")
-    labels = components(links.union(found))
-
-    named = classes.join(labels, classes.cid == labels.node, "left").select("class", "rep_id", F.coalesce("comp", "cid").alias("comp"))
-    smallest = named.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
-    of_class = named.join(smallest, "comp").select(F.col("class").alias("of"), "component_id")
-    out = rows.select("doc_id", "n_shingles", "class").join(of_class, F.col("class") == F.col("of"), "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return linked(docs, min_percent).drop("label")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, scratch, table
 from tessera.llm.op6_fingerprint import let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -286,8 +286,9 @@ def redact(text: Column, found: Column) -> Column:
 
 def find(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     """doc_id, base and all spans of each row of docs (doc_id, text)."""
-    found = materialise(candidates(docs), "candidates")
-    return spans(found, *fit(found, precision))
+    with scratch(docs.sparkSession):
+        found = materialise(candidates(docs), "candidates")
+        return materialise(spans(found, *fit(found, precision)), "spans", result=True)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

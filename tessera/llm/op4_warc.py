@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, narrow_batches, new_path, table
+from tessera.llm.common import materialise, new_path, pieces, scratch, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 16_000_000
@@ -103,19 +103,19 @@ def members(read, size: int) -> dict[str, tuple[int, int]]:
                 packed = wide.pop(0) if packed == 0xFFFFFFFF else packed
                 header = wide.pop(0) if header == 0xFFFFFFFF else header
             i += 4 + width
-        if method == 0:
-            local = read(header, 30)
-            if local[:4] != b"PK\x03\x04":
-                raise ValueError("broken local header")
-            a, b = struct.unpack_from("<HH", local, 26)
-            found[name] = (header + 30 + a + b, packed)
+        if method != 0:
+            raise ValueError(f"{name} is not stored but packed: its records can't be read by ranges")
+        local = read(header, 30)
+        if local[:4] != b"PK\x03\x04":
+            raise ValueError("broken local header")
+        a, b = struct.unpack_from("<HH", local, 26)
+        found[name] = (header + 30 + a + b, packed)
         at += 46 + n + extra + comment
     return found
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write pages (page_id, url, html) as archives below ``folder``; the manifest: archive, records. It is a table by then."""
-    narrow_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     groups = own.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
             lines.clear()
             return pa.RecordBatch.from_arrays([pa.array([name.removeprefix(base + "/")]), pa.array([n], pa.int64())], names=["archive", "records"])
 
-        for b in batches:
+        for b in pieces(batches):
             for page_id, url, body, first in zip(*(c.to_pylist() for c in b.columns)):
                 revisit = first is not None and page_id != first
                 digest = digest32(body)
@@ -158,11 +158,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """The records of the archives of a manifest: page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive (and payload)."""
-    narrow_batches(manifest.sparkSession)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        for b in batches:
+        for b in pieces(batches):
             rows: list[tuple] = []
             for name in b.column(0).to_pylist():
                 with store.open_input_file(f"{base}/{name}") as f:
@@ -191,7 +190,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        for b in batches:
+        for b in pieces(batches):
             for name, first, lengths in zip(*(c.to_pylist() for c in b.columns)):
                 with store.open_input_file(f"{base}/{name}") as f:
                     raw = f.read_at(sum(lengths), first)
@@ -207,6 +206,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_path(spark, "archives")
-    manifest = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with scratch(spark):
+        folder = new_path(spark, "archives")
+        found = read_archives(write_archives(table(spark, sf_dir, "pages"), folder), folder)
+        return materialise(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records", result=True)

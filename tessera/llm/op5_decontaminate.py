@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import narrow_batches, table
+from tessera.llm.common import pieces, table
 
 _RUNS = re.compile(r"[^\W_]+")
 
@@ -125,23 +125,27 @@ def _matcher(items: tuple, per_error: int, shortest: int) -> Matcher:
     return Matcher(list(items), per_error, shortest)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = 12, shortest: int = 24, block_chars: int = 16_000_000) -> DataFrame:
-    """doc_id, item_id, distance, start_at, end_at for each document of docs (doc_id, text) and item within its error budget."""
-    spark = docs.sparkSession
-    narrow_batches(spark)
+def _matchers(benchmark: DataFrame, per_error: int, shortest: int, block_chars: int) -> Iterator[Callable[[], Matcher]]:
+    """The benchmark's items (item_id, text) in blocks, each broadcast: what gives a task its matcher."""
     sized = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_chars))
-    found = None
     for i in range(blocks):
         own = sized.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i) if blocks > 1 else sized
         items = tuple(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x)))
-        shared = spark.sparkContext.broadcast(items)
+        shared = benchmark.sparkSession.sparkContext.broadcast(items)
+        yield lambda shared=shared: _matcher(shared.value, per_error, shortest)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = 12, shortest: int = 24, block_chars: int = 16_000_000) -> DataFrame:
+    """doc_id, item_id, distance, start_at, end_at for each document of docs (doc_id, text) and item within its error budget."""
+    found = None
+    for matcher in _matchers(benchmark, per_error, shortest, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared.value, per_error, shortest)
-            for b in batches:
-                rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in matcher.find(t)]
+        def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            find = matcher().find
+            for b in pieces(batches):
+                rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], names=["doc_id", "item_id", "distance", "start_at", "end_at"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance long, start_at long, end_at long")
@@ -149,5 +153,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = 12, sho
     return found
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, per_error: int = 12, shortest: int = 24, block_chars: int = 16_000_000) -> DataFrame:
+    """The rows of docs, all columns kept, whose ``text`` holds no item within its error budget. Each row is judged where it is: nothing is shuffled or joined."""
+    for matcher in _matchers(benchmark, per_error, shortest, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            find = matcher().find
+            for b in pieces(batches):
+                yield b.filter(pa.array([not find(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

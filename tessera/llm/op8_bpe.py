@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import narrow_batches, table
+from tessera.llm.common import pieces, table
 
 #: The byte-level pre-tokenisation pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -288,12 +288,11 @@ def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with a column ``ids``: the token ids of each whole text, as ``tokenizers`` gives them without special tokens added."""
-    narrow_batches(df.sparkSession)
     kept = [c for c in df.columns if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for b in batches:
+        for b in pieces(batches):
             texts = [t or "" for t in b.column(kept.index(text)).to_pylist()]
             found, ends = [], [np.zeros(1, np.int64)]
             group: list[str] = []
@@ -314,12 +313,11 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with a column ``text``: what the ids stand for, special tokens included; null ids: the empty text."""
-    narrow_batches(df.sparkSession)
     kept = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for b in batches:
+        for b in pieces(batches):
             lists = b.column(kept.index(ids)).fill_null([])
             found = bpe.decode(lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy())))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*kept, text])

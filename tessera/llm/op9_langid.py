@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import narrow_batches, remainder, table
+from tessera.llm.common import pieces, remainder, table
 
 WINDOW = 256
 UND = "und"
@@ -132,18 +132,21 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, batch
     return net
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_lang: int = 800, windows: int = 3) -> ByteCnn | None:
-    """A network from at most about ``per_lang`` labelled texts a language, picked by a hash of the text among rows where ``learn`` holds."""
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_lang: int = 800, windows: int = 3, max_langs: int = 250) -> ByteCnn | None:
+    """A network from at most about ``per_lang`` labelled texts a language, picked by a hash of the text among rows where ``learn`` holds.
+
+    The sample holds each text once and is bounded by these parameters; the ``max_langs`` languages of most rows are learned.
+    """
     own = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").collect()}  # a row a language
+    sizes = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])
-    picked = own.where((F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("l")])
+    picked = own.where((F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("l")]).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             raw, label = [], []
             for t, lab in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if any(map(str.isalpha, t)):
@@ -153,8 +156,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
                     label += [lab] * len(at)
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(label, pa.string())], names=["x", "l"])
 
-    narrow_batches(docs.sparkSession)
-    rows = picked.mapInArrow(cut, "x binary, l string").limit(4 * per_lang * windows * len(langs)).collect()  # far above the bound: a guard
+    rows = picked.mapInArrow(cut, "x binary, l string").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["l"], bytes(r["x"])))
@@ -165,13 +167,12 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
 def predict(df: DataFrame, net: ByteCnn | None, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (the mean probability of that language over all windows)."""
     spark = df.sparkSession
-    narrow_batches(spark)
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
     model = spark.sparkContext.broadcast(net)  # some 100 kB whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
-        for b in batches:
+        for b in pieces(batches):
             pred, score = [UND] * b.num_rows, np.zeros(b.num_rows)
             group: list[tuple[int, np.ndarray]] = []
             size = 0
