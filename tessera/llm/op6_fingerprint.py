@@ -1,8 +1,9 @@
 """Document fingerprints: one-permutation MinHash with optimal densification and packed low-order bits. DataFrame functions only.
 
 Each five-word shingle is hashed once; the top 8 bits of the hash are its bin, and a bin keeps its least hash. An empty bin
-takes the value of another bin: its attempts visit bins in an order of its own (a universal hash of bin and attempt) until
-one is full. Of each bin's value 4 bits are kept, drawn by a hash with the bin's number so that copies of one value agree or
+takes the value of another bin: its attempts visit bins in an order of its own until one is full (first by a universal hash of
+bin and attempt, then, where eight attempts failed, all full bins in the order of a hash of both bins, which ends at the first).
+Of each bin's value 4 bits are kept, drawn by a hash with the bin's number so that copies of one value agree or
 differ independently. Two fingerprints agree in a share R = J + (1 - J) / 16 of bins, so likeness is (R - 1/16) / (15/16).
 
 Edge cases: null counts as empty; a text without words has the fingerprint '' and likeness 1 to another such text, 0 to any
@@ -58,18 +59,17 @@ def _bins(hashes: Column) -> Column:
 
 def _values(bins: Column) -> Column:
     """Every bin's 4 bits after densification."""
-    away = sorted(range(1, BINS), key=lambda m: (m * 0x9E3779B1) % 1_000_003)
-    others = F.array(*[F.lit(m) for m in away])
 
-    def of(d: Column) -> Column:
+    def of(d: Column, full: Column) -> Column:
         def value(x: Column, b: Column) -> Column:
             tried = [F.get(d, _probe(j, b)) for j in range(1, ATTEMPTS + 1)]
-            rest = F.element_at(F.filter(F.transform(others, lambda m: F.get(d, b.bitwiseXOR(m))), lambda y: y.isNotNull()), 1)
-            return F.xxhash64(F.coalesce(x, *tried, rest), b).bitwiseAND((1 << BITS) - 1).cast("int")
+            rest = F.array_min(F.transform(full, lambda f: F.struct(F.xxhash64(b, f).alias("o"), f.alias("f"))))["f"]
+            return F.xxhash64(F.coalesce(x, *tried, F.get(d, rest)), b).bitwiseAND((1 << BITS) - 1).cast("int")
 
         return F.transform(d, value)
 
-    return let(bins, of)
+    full = lambda d: F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get(d, i).isNotNull())
+    return let(bins, lambda d: let(full(d), lambda f: of(d, f)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -89,15 +89,19 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with ``fingerprint``, and of the next document in ascending doc_id ``next_text`` and ``next_fingerprint``.
 
-    Ids are cut into ranges of about equal counts at approximate quantiles (a bounded number of cuts), a window leads within
-    each range, and the first document of every range is put behind the last one of the range before.
+    Ids are cut into ranges of about equal counts at approximate quantiles, four for each of the session's shuffle partitions, a
+    window leads within each range, and the first document of every range is put behind the last one of the range before.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = min(1024, max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20_000)).first()[0] or ()))
-    edges = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))))
+    parts = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(20_000, 8 * parts))).first()[0] or ()))
+    step = max(1, int(len(cuts) ** 0.5))  # first the block of cuts, then the cut in it
+    whole = lambda xs: F.array(*[F.lit(c) for c in xs]).cast("array<bigint>")
+    below = lambda a: F.size(F.filter(a, lambda c: c <= F.col("doc_id")))
+    block = below(whole(cuts[::step])) - 1
+    inside = let(block, lambda k: F.when(k < 0, 0).otherwise(k * step + below(F.get(F.array(*[whole(cuts[i : i + step]) for i in range(0, len(cuts), step)]), k))))
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(inside if cuts else F.lit(0))
     placed = docs.withColumn("part", place.cast("int"))
     firsts = sorted((tuple(r) for r in placed.groupBy("part").agg(F.min("doc_id")).collect()))  # a row a range
     if not firsts:
