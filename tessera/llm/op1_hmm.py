@@ -1,17 +1,20 @@
 """Hidden Markov language model: Baum-Welch over all training texts, exact sequence likelihood by the scaled forward recursion.
 
-Tokens are words with A-Z lower-cased, then one end. The commonest training tokens, ``frequent`` at most, are classes of their own; every
-other word falls into one of ``rare`` classes by a checksum of its last three bytes. A hidden state emits a class, and a
-class its word with probability (c + 0.1) / (C + 0.1 * (V + 1)) over the class's training words (one for frequent tokens;
-a word never seen has c = 0). So states have tables of a fixed size whatever the vocabulary, word counts stay a
-distributed table, and the model is a proper distribution over texts of known and unknown words.
+Tokens are words with A-Z lower-cased, then one end. The commonest training tokens are classes of their own; every other word
+falls into one of the rare classes by a checksum of its last three bytes. The number of both grows with the training tokens:
+``per_root`` times their cube root, and a thirtieth of that, so what is learned of words grows with the corpus while the
+tables of states stay in memory (some 300 MB for 10**13 tokens). A hidden state emits a class, and a class its word with
+probability (c + 0.1) / (C + 0.1 * (V + 1)) over the class's training words (one for frequent tokens; a word never seen has
+c = 0). Word counts stay a distributed table, and the model is a proper distribution over texts of known and unknown words.
 
 Word counts, vocabulary and Baum-Welch counts cover all training rows; each pass sums expected counts within a task, then
-across tasks in blocks of classes. A bounded sample only sets the starting point of the passes (``warm_docs``).
+across tasks in blocks of classes. Before ``passes`` such passes, ``warm_passes`` of the same kind over one row in
+``warm_share``, whole texts picked by a hash of the text, set the starting point. Long texts go through Baum-Welch in
+segments with the forward values kept at their edges, which gives the same counts in bounded memory.
 
-Edge cases: a null or empty text is one end token; null ids count as remainder 0; repeated rows are scored one by one;
-with no training rows N and V are 0 and every token scores as unknown; an empty table gives an empty table; further
-columns are ignored.
+Edge cases: a null or empty text is one end token; null ids count as remainder 0; repeated rows are scored one by one; words of
+equal count at the edge of the frequent ones stand or fall together; with no training rows N and V are 0 and every token
+scores as unknown; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, narrow_batches, remainder, table
+from tessera.llm.common import materialise, pieces, remainder, scratch, table
 
 END = b"\n"
 BLOCKS = 256
@@ -83,7 +86,7 @@ class Classes:
             own = [words[i] for i in away]
             rare.update(own)
             at[away] = [self.n_frequent + zlib.crc32(w[-3:]) % self.n_rare for w in own]
-        return at.astype(np.uint16), rare
+        return at.astype(np.uint32), rare
 
 
 class Hmm:
@@ -99,51 +102,81 @@ class Hmm:
         move = np.full((states, states), 0.2 / max(1, states - 1)) + np.eye(states) * (0.8 - 0.2 / max(1, states - 1))
         return Hmm(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def forward(self, seqs: list[np.ndarray], keep: bool = False):
-        """Natural log-likelihoods of sequences sorted from long to short; with ``keep`` also what Baum-Welch needs."""
+    @staticmethod
+    def _grid(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sequences sorted from long to short as columns, and how many are longer than t."""
         size = np.array([len(s) for s in seqs])
-        wide = int(size[0])
-        obs = np.zeros((wide, len(seqs)), np.uint16)
+        obs = np.zeros((int(size[0]), len(seqs)), np.uint32)
         for i, s in enumerate(seqs):
             obs[: len(s), i] = s
-        live = np.searchsorted(-size, -np.arange(wide), side="left")  # sequences longer than t
-        log = np.zeros(len(seqs))
-        kind = np.float32 if keep else np.float64  # expected counts are sums of scaled values: single precision will do
-        first, move, table = (x.astype(kind, copy=False) for x in (self.start, self.move, self.emit))
-        emitted = table.take(obs, axis=0) if keep else None
-        alphas = np.zeros((wide, len(seqs), len(self.start)), kind) if keep else None
-        scales = np.ones((wide, len(seqs)), kind) if keep else None
-        alpha = None
-        for t in range(wide):
+        return obs, np.searchsorted(-size, -np.arange(len(obs)), side="left")
+
+    def forward(self, seqs: list[np.ndarray]) -> np.ndarray:
+        """Natural log-likelihoods of sequences sorted from long to short."""
+        obs, live = self._grid(seqs)
+        log, alpha = np.zeros(len(seqs)), None
+        for t in range(len(obs)):
             n = live[t]
-            e = emitted[t, :n] if keep else table.take(obs[t, :n], axis=0)
-            alpha = first * e if t == 0 else (alpha[:n] @ move) * e
+            e = self.emit.take(obs[t, :n], axis=0)
+            alpha = self.start * e if t == 0 else (alpha[:n] @ self.move) * e
             s = alpha.sum(1)
             alpha /= s[:, None]
-            if keep:
-                alphas[t, :n], scales[t, :n] = alpha, s
             log[:n] += np.log(s)
-        return (log, obs, live, emitted, alphas, scales) if keep else log
+        return log
+
+    def _segment(self, obs: np.ndarray, live: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward values, scales and emission of a run of positions that follows the forward values ``before``; single precision."""
+        first, move, table = (x.astype(np.float32, copy=False) for x in (self.start, self.move, self.emit))
+        emitted = table.take(obs, axis=0)
+        alphas, scales = np.zeros((*obs.shape, len(first)), np.float32), np.ones(obs.shape, np.float32)
+        alpha = before
+        for t in range(len(obs)):
+            n = live[t]
+            alpha = (first if alpha is None else alpha[:n] @ move) * emitted[t, :n]
+            s = alpha.sum(1)
+            alpha /= s[:, None]
+            alphas[t, :n], scales[t, :n] = alpha, s
+        return alphas, scales, emitted
 
-    def expect(self, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
+    def expect(self, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, segment: int = 65_536) -> float:
         """Add the expected counts of sequences (long to short) to the three arrays (emit: K, classes); their log-likelihood."""
-        log, obs, live, emitted, alphas, scales = self.forward(seqs, keep=True)
-        wide, n, k = alphas.shape
-        betas = np.ones_like(alphas)
-        after = np.zeros_like(alphas)  # emission times backward value over scale, of the next position
-        back = np.ascontiguousarray(self.move.T.astype(alphas.dtype))
-        for t in range(wide - 2, -1, -1):
-            m = live[t + 1]
-            x = emitted[t + 1, :m] * betas[t + 1, :m] / scales[t + 1, :m, None]
-            after[t, :m] = x
-            betas[t, :m] = x @ back
-        move += self.move * (alphas.reshape(-1, k).T @ after.reshape(-1, k))
-        gamma = alphas * betas  # zero beyond the end of a sequence, as the forward values are
-        start += gamma[0].sum(0)
-        flat = obs.ravel()
-        for j in range(k):
-            emit[j] += np.bincount(flat, gamma[:, :, j].ravel(), minlength=emit.shape[1])
-        return float(log.sum())
+        obs, live = self._grid(seqs)
+        edges = [None]  # forward values before each segment
+        for a in range(segment, len(obs), segment):
+            edges.append(self._segment(obs[a - segment : a], live[a - segment : a], edges[-1])[0][-1])
+        k, log = len(self.start), 0.0
+        back = np.ascontiguousarray(self.move.T.astype(np.float32))
+        carry = None  # emission times backward value over scale, of the position after the segment
+        for at in reversed(range(len(edges))):
+            here = slice(at * segment, (at + 1) * segment)
+            o, n = obs[here], live[here]
+            alphas, scales, emitted = self._segment(o, n, edges[at])
+            betas, after = np.ones_like(alphas), np.zeros_like(alphas)
+            for t in range(len(o) - 1, -1, -1):
+                if t + 1 < len(o):
+                    m = n[t + 1]
+                    x = emitted[t + 1, :m] * betas[t + 1, :m] / scales[t + 1, :m, None]
+                elif carry is not None:
+                    m, x = len(carry), carry
+                else:
+                    continue
+                after[t, :m] = x
+                betas[t, :m] = x @ back
+            carry = emitted[0, : n[0]] * betas[0, : n[0]] / scales[0, : n[0], None]
+            move += self.move * (alphas.reshape(-1, k).T @ after.reshape(-1, k))
+            gamma = alphas * betas  # zero beyond the end of a sequence, as the forward values are
+            if at == 0:
+                start += gamma[0].sum(0)
+            flat, of = o.ravel(), None
+            if emit.shape[1] > 2 * len(flat):
+                of, flat = np.unique(flat, return_inverse=True)
+            for j in range(k):
+                if of is None:
+                    emit[j] += np.bincount(flat, gamma[:, :, j].ravel(), minlength=emit.shape[1])
+                else:
+                    emit[j, of] += np.bincount(flat, gamma[:, :, j].ravel(), minlength=len(of))
+            log += float(np.log(scales, dtype=np.float64).sum())
+        return log
 
     @staticmethod
     def of_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Hmm:
@@ -164,15 +197,15 @@ def batches_of(seqs: list[np.ndarray], cells: int = 480_000) -> Iterator[list[in
 
 
 def _sequences(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
+    return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
 
 
 def _encoded(docs: DataFrame, held_out, classes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = classes.value
-        for b in batches:
+        for b in pieces(batches, 1024):
             seqs, rows = [], {k: [] for k in ("n", "known", "log", "words", "times")}
-            for t in b.column(2).to_pylist():
+            for t in b.column(3).to_pylist():
                 s, rare = own.encode(tokens(t))
                 seqs.append(s.tobytes())
                 top = s[s < own.n_frequent]
@@ -182,14 +215,15 @@ def _encoded(docs: DataFrame, held_out, classes) -> DataFrame:
                 rows["words"].append(list(rare))
                 rows["times"].append(list(rare.values()))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seqs, pa.binary()), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], names=["doc_id", "held_out", "seq", *rows])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(seqs, pa.binary()), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], names=["doc_id", "held_out", "share", "seq", *rows])
 
-    out = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, seq binary, n long, known long, log double, words array<binary>, times array<int>")
+    share = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 20)), F.lit(0))
+    out = docs.select("doc_id", held_out.alias("held_out"), share.alias("share"), "text").mapInArrow(run, "doc_id long, held_out boolean, share long, seq binary, n long, known long, log double, words array<binary>, times array<int>")
     return out.withColumn("uid", F.monotonically_increasing_id())
 
 
-def _pass(seqs: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One Baum-Welch pass: expected counts over all rows of ``seqs``, summed in tasks and then in blocks of classes."""
+def _pass(seqs: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """One Baum-Welch pass: expected counts over all rows of ``seqs``, summed in tasks and then in blocks of classes; None: no rows."""
     spark = seqs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # states times classes: a fixed size
     k = len(model.start)
@@ -198,7 +232,7 @@ def _pass(seqs: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm = shared.value
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, size))
-        for b in batches:
+        for b in pieces(batches, 1024):
             own = _sequences(b.column(0))
             for at in batches_of(own):
                 hmm.expect([own[i] for i in at], start, move, emit)
@@ -212,7 +246,7 @@ def _pass(seqs: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray, np.ndarra
     rows = {r["block"]: np.frombuffer(r["counts"], np.float64) for r in seqs.mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()}
     shared.unpersist()
     if not rows:
-        return np.zeros(k), np.zeros((k, k)), np.zeros((k, size))
+        return None
     head = rows.pop(-1)
     return head[:k], head[k:].reshape(k, k), np.concatenate([rows[i].reshape(k, -1) for i in sorted(rows)], 1)
 
@@ -223,7 +257,7 @@ def _likelihoods(encoded: DataFrame, model: Hmm, log_class: np.ndarray) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm, minus = shared.value
-        for b in batches:
+        for b in pieces(batches, 1024):
             own = _sequences(b.column(len(names)))
             out = np.zeros(len(own))
             for at in batches_of(own):
@@ -234,14 +268,19 @@ def _likelihoods(encoded: DataFrame, model: Hmm, log_class: np.ndarray) -> DataF
     return encoded.select(*names, "seq").mapInArrow(run, "uid long, doc_id long, held_out boolean, n long, known long, log double, model double")
 
 
-def hmm_scores(docs: DataFrame, held_out, states: int = 8, passes: int = 3, frequent: int = 30_000, rare: int = 1_000, warm_docs: int = 1500, warm_passes: int = 12) -> DataFrame:
+def hmm_scores(docs: DataFrame, held_out, states: int = 8, passes: int = 2, per_root: int = 190, warm_share: int = 8, warm_passes: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
+    with scratch(docs.sparkSession):
+        return materialise(_scored(docs.select("doc_id", "text"), held_out, states, passes, per_root, warm_share, warm_passes), "scored", result=True)
+
+
+def _scored(docs: DataFrame, held_out, states: int, passes: int, per_root: int, warm_share: int, warm_passes: int) -> DataFrame:
     spark = docs.sparkSession
-    narrow_batches(spark, 1024)
-    docs = docs.select("doc_id", "text")
     counts = docs.where(~held_out).select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = materialise(counts, "word_counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    frequent = int(per_root * round(n ** (1 / 3), 6))
+    rare = max(1, frequent // 30)
     # the commonest words by bins of a sixteenth of an octave: some hundred rows tell from which bin on all words fit
     place = F.floor(F.log2(F.col("c").cast("double")) * 16)
     room, least = frequent, None
@@ -260,18 +299,12 @@ def hmm_scores(docs: DataFrame, held_out, states: int = 8, passes: int = 3, freq
     classes = Classes(top, rare, n, v, totals)
 
     encoded = materialise(_encoded(docs, held_out, spark.sparkContext.broadcast(classes)), "encoded")
-    learned = encoded.where(~F.col("held_out")).select("seq")
+    learned = encoded.where(~F.col("held_out"))
     model = Hmm.fresh(classes.prior, states)
-    n_learned = encoded.where(~F.col("held_out")).count()
-    sample = encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("uid"), F.lit(1_000_003)) / 1_000_003.0 < min(1.0, warm_docs / max(1, n_learned)))).where("n <= 4000")
-    warm = sorted((np.frombuffer(r["seq"], np.uint16) for r in sample.select("seq").limit(2 * warm_docs).collect()), key=lambda s: (-len(s), s.tobytes()))
-    for _ in range(warm_passes if warm else 0):
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes.size))
-        for at in batches_of(warm):
-            model.expect([warm[i] for i in at], start, move, emit)
-        model = Hmm.of_counts(start, move, emit, classes.prior)
-    for _ in range(passes if n else 0):
-        model = Hmm.of_counts(*_pass(learned, model, classes.size), classes.prior)
+    warm = materialise(learned.where(F.col("share") % warm_share == 0).select("seq"), "warm") if warm_passes else learned
+    for seqs in [warm] * warm_passes + [learned.select("seq")] * passes:
+        if (sums := _pass(seqs, model, classes.size)) is not None:
+            model = Hmm.of_counts(*sums, classes.prior)
 
     scored = _likelihoods(encoded, model, classes.log_class)
     words = encoded.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
