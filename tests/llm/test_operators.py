@@ -92,13 +92,14 @@ def test_op2_components_are_those_of_all_pairs(spark, sf, docs):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), find(i), find(i) == i)
 
 
-def test_components_both_ways(spark):
+def test_components(spark):
     rng = np.random.default_rng(3)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)] + [(5, 5)]
-    df = spark.createDataFrame(edges, "u long, v long")
-    one, many = ({r["node"]: r["comp"] for r in graph.components(df, one_task=n).collect()} for n in (1000, 0))
-    nodes, comp = graph.labels_of(*np.array([e for e in edges if e[0] != e[1]]).T)
-    assert one == many == dict(zip(nodes.tolist(), comp.tolist()))
+    path = rng.permutation(3000).tolist()
+    for edges in ([(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)] + [(5, 5)], list(zip(path, path[1:])), [(i, 7) for i in range(3000)]):
+        df = spark.createDataFrame(edges, "u long, v long").repartition(17)
+        nodes, comp = graph.labels_of(*np.array([e for e in edges if e[0] != e[1]]).T)
+        got = graph.components(df).collect()
+        assert len(got) == len(nodes) and {r["node"]: r["comp"] for r in got} == dict(zip(nodes.tolist(), comp.tolist()))
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
