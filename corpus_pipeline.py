@@ -21,18 +21,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id, and of repeated rows one. Null ids stay."""
-    common.release(spark)
-    kept = op2_near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    own = docs.select(*COLUMNS)
-    return own.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS).union(own.where(F.col("doc_id").isNull()))
+    """One row of each group of near copies stays: that with the smallest doc_id, ids before no id, then by a hash of id and text.
+
+    Rows are told apart by id and text, so an id that names several texts loses only those that are copies of others. Rows
+    without words are linked with nothing and stay; of repeated rows (same id and text) one stays.
+    """
+    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce("text", F.lit(""))))
+    own = docs.select(*COLUMNS, row.alias("row"))
+    with common.scratch(spark):
+        found = op2_near_dedup.linked(own.select("doc_id", "text", "row"), also=["row"]).where("kept")
+        stay = found.groupBy(F.coalesce(F.col("label").cast("string"), F.col("row"))).agg(F.min("row").alias("row")).select("row")
+        stay = common.materialise(stay, "stay", result=True)
+    return own.dropDuplicates(["row"]).join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item within its error budget go."""
-    common.release(spark)
-    found = op5_decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.select(*COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    """Rows that hold a benchmark item within its error budget go."""
+    return op5_decontaminate.clean(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,11 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and reread."""
+    """All stages over documents, each written as Parquet in the shared folder and reread; what stages write on the way is deleted."""
     docs = common.table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        path = common.new_path(spark, f"stage{i}")
-        common.keep(path)
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+    with common.scratch(spark):
+        for i, (_, stage) in enumerate(STAGES):
+            path = common.new_path(spark, f"stage{i}", result=i + 1 == len(STAGES))
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+            docs = spark.read.parquet(path)
     return docs
