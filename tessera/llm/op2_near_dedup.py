@@ -7,10 +7,10 @@ of one chunk (all allowed errors of all chunks), and every pair within that dist
 symbols, not single bits: at a similarity of 0.75 a quarter of the symbols differ, and over single bits such a radius
 would put every pair of documents into some bucket. At similarity 0.75 the chance to differ in more than 31 of 64 symbols
 is below 1 in 50,000. Pairs of a bucket are first held to the distance over all 512 symbols (low 4 bits; MAX_DIFFERENT is
-5.2 standard deviations above the mean at 0.75) and to the ratio of the set sizes, then confirmed on the full sets.
+4.2 standard deviations above the mean at 0.75, a chance as small as that of the radius) and to the ratio of the set sizes, then confirmed on the full sets.
 
 No bucket ever yields all its pairs. Two star rounds pair every member with the pivot of its bucket, by an equi-join on the
-bucket's key, and components are formed; only then pairs across components are looked at. There a bucket is split into
+bucket's key, confirm the nearest, and form components; only then pairs across components are looked at. There a bucket is split into
 blocks of about BLOCK_ROWS rows: rows of one (large) component are dealt over blocks, the other rows meet each of them, so
 no task holds more than two blocks, whatever the bucket's size. Classes are numbered in the order of their least doc_id, so
 the least number of a component is that of its least doc_id.
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +37,11 @@ from tessera.llm.shingles import mix, set_digest, shingle_set, signatures
 
 SYMBOLS, KEY_SYMBOLS, CHUNK = 512, 64, 4
 #: Of 512 symbols with 4 bits kept: mean 120 and standard deviation 9.6 at similarity 0.75.
-MAX_DIFFERENT = 170
+MAX_DIFFERENT = 160
 #: Bits of the bitmap of needed documents for each of them, and its bounds (32 KB to 128 MB, broadcast).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 18, 30
+#: Orders that choose pivots, and how many of the pivots near it a class is verified with in a star round.
+ORDERS, NEAREST = 8, 3
 #: Rows of a block of a bucket.
 BLOCK_ROWS = 2000
 
@@ -254,9 +256,9 @@ def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _buckets(rows: DataFrame, round_no: int) -> DataFrame:
-    """Of each bucket with several components: a pivot, its component and the number of rows. Pivots follow one order of all
-    classes, another one each round, so buckets with the same members have the same pivot."""
-    order = F.struct(F.xxhash64(F.lit(round_no), "cid").alias("o"), "cid", "label")
+    """Of each bucket with several components: a pivot, its component and the number of rows. Pivots follow one of ORDERS orders of
+    all classes, others each round, so many buckets with the same members have the same pivot, but not all."""
+    order = F.struct(F.xxhash64(F.lit(round_no), F.pmod(F.xxhash64("key"), F.lit(ORDERS)), "cid").alias("o"), "cid", "label")
     seen = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("rows"), F.min(order).alias("p")).where("a < z")
     return seen.select("key", "rows", F.col("p.cid").alias("pivot"), F.col("p.label").alias("big"))
 
@@ -292,7 +294,7 @@ def linked(docs: DataFrame, min_percent: int = 75, also: list[str] | None = None
             stars = own.join(_buckets(own, round_no), "key").where("label <> big").select(F.col("cid").alias("u"), F.col("pivot").alias("v"), F.col("label").alias("lu"), F.col("big").alias("lv")).distinct()
             x, y = (sketched.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
             close = stars.join(x, "u").join(y, "v").select("nu", "nv", "su", "sv", "u", "v", "lu", "lv").mapInArrow(_close, "u long, v long, lu long, lv long, d long")
-            best = close.groupBy("u").agg(F.min(F.struct("d", "v", "lu", "lv")).alias("best")).select("u", "best.*")
+            best = close.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("place") <= NEAREST)
             labels = _merged(labels, components(_verify(best, docs, classes, min_percent)))
 
         own = _labelled(met, labels)
