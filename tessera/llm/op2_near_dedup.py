@@ -41,7 +41,7 @@ MAX_DIFFERENT = 160
 #: Bits of the bitmap of needed documents for each of them, and its bounds (32 KB to 128 MB, broadcast).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 18, 30
 #: Orders that choose pivots, and how many of the pivots near it a class is verified with in a star round.
-ORDERS, NEAREST = 8, 3
+ORDERS, NEAREST = 4, 3
 #: Rows of a block of a bucket.
 BLOCK_ROWS = 2000
 
