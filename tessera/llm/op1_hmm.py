@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise, pieces, remainder, scratch, table
 
 END = b"\n"
-BLOCKS = 256
+BLOCKS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -268,7 +268,7 @@ def _likelihoods(encoded: DataFrame, model: Hmm, log_class: np.ndarray) -> DataF
     return encoded.select(*names, "seq").mapInArrow(run, "uid long, doc_id long, held_out boolean, n long, known long, log double, model double")
 
 
-def hmm_scores(docs: DataFrame, held_out, states: int = 8, passes: int = 2, per_root: int = 190, warm_share: int = 8, warm_passes: int = 10) -> DataFrame:
+def hmm_scores(docs: DataFrame, held_out, states: int = 8, passes: int = 2, per_root: int = 190, warm_share: int = 8, warm_passes: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     with scratch(docs.sparkSession):
         return materialise(_scored(docs.select("doc_id", "text"), held_out, states, passes, per_root, warm_share, warm_passes), "scored", result=True)
