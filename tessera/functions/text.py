@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The tokeniser's stop words and aliases.
@@ -66,17 +66,41 @@ def _stem(t: Column) -> Column:
     )
 
 
+def _spaced(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, "_-/", "   "), r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z][A-Z])(?=[A-Z][a-z])", " ")
+
+
 def _raw_terms(text: Column) -> Column:
-    spaced = F.regexp_replace(F.translate(text, "_-/", "   "), r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z][A-Z])(?=[A-Z][a-z])", " ")
-    words = F.regexp_extract_all(spaced, F.lit("[A-Za-z0-9_$]+"), F.lit(0))
-    return F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"^[_$]+|[_$]+$", ""))
+    words = F.regexp_extract_all(_spaced(text), F.lit("[A-Za-z0-9_$]+"), F.lit(0))
+    return F.transform(words, _trimmed)
+
+
+def _trimmed(word: Column) -> Column:
+    return F.btrim(F.lower(word), F.lit("_$"))
+
+
+def _forms(t: Column) -> Column:
+    """A term with its alias and its stem behind it."""
+    return F.array_compact(F.array(t, F.when(t.isin(*ALIASES), F.lit("skeleton")), _stem(t)))
+
+
+def _searched(t: Column) -> Column:
+    return (F.length(t) >= 2) & ~t.isin(*STOP_WORDS)
 
 
 def terms(text: Column) -> Column:
     """Search terms of a text in order: identifiers split, stop words gone, aliases and stems put behind their term."""
-    own = F.filter(_raw_terms(text), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
-    alias = lambda t: F.when(t.isin(*ALIASES), F.lit("skeleton"))
-    return F.flatten(F.transform(own, lambda t: F.filter(F.array(t, alias(t), _stem(t)), lambda x: x.isNotNull())))
+    return F.flatten(F.transform(F.filter(_raw_terms(text), _searched), _forms))
+
+
+def exploded_terms(df: DataFrame, keys: list[str], columns: dict[str, tuple[Column, int]]) -> DataFrame:
+    """keys, term, w: a row for each search term of each column (text and weight). Words are exploded first, so what is done to
+    each of them is compiled."""
+    words = lambda text: F.regexp_extract_all(_spaced(text), F.lit("[A-Za-z0-9_$]+"), F.lit(0))
+    parts = F.array(*[F.struct(words(text).alias("words"), F.lit(weight).alias("w")) for text, weight in columns.values()])
+    each = df.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.w", F.explode("p.words").alias("word"))
+    own = each.select(*keys, "w", _trimmed(F.col("word")).alias("word")).where(_searched(F.col("word")))
+    return own.select(*keys, F.explode(_forms(F.col("word"))).alias("term"), "w")
 
 
 def identifier_terms(text: Column) -> Column:

@@ -7,28 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import terms
+from tessera.functions.text import exploded_terms
 
 K1, B = 1.5, 0.75
 
 
 def document_counts(docs: DataFrame, weights: dict[str, int], outline: bool = False, key: str = "doc_id") -> DataFrame:
     """key, term, tf: weighted term counts over several columns; ``outline`` stands for the first line of the text."""
-
-    def weighted(name: str, weight: int) -> Column:
-        column = F.substring_index("text", "\n", 1) if name == "outline" and outline else F.col(name)
-        return F.transform(terms(column), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
-
-    parts = [weighted(name, weight) for name, weight in weights.items()]
-    each = docs.select(key, F.explode(F.concat(*parts)).alias("x"))
-    return each.groupBy(key, F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    text = lambda name: F.substring_index("text", "\n", 1) if name == "outline" and outline else F.col(name)
+    return exploded_terms(docs, [key], {name: (text(name), weight) for name, weight in weights.items()}).groupBy(key, "term").agg(F.sum("w").alias("tf"))
 
 
 def bm25(counts: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """query_id, key, score, matched for each document with a term of a query (query_id, term: distinct terms).
 
-    counts: key, term, tf. Document frequencies and lengths are aggregated once; the join follows the terms, so a frequent term is
-    split by adaptive execution like any skewed join.
+    counts: key, term, tf; a table by preference, else it is made from its texts a second time: once for the lengths, and once for
+    the postings of the terms asked for, which give the document frequencies too. The joins follow the terms or the documents,
+    so a frequent term is split by adaptive execution like any skewed join.
     """
     lengths = counts.groupBy(key).agg(F.sum("tf").alias("len"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))  # one row

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import query, table
 from tessera.plans.text_queries import TERMS_SQL
+from tessera.sources.tables import spread, written
 
 _COUNTS = f"counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents) GROUP BY 1, 2)"
 _BM25 = f"""WITH {_COUNTS}, len AS (SELECT doc_id, sum(tf) AS len FROM counts GROUP BY 1), tot AS (SELECT count(*) AS n_docs, greatest(1.0::DOUBLE, avg(len)) AS avg_len FROM len),
@@ -19,7 +20,7 @@ _BM25 = f"""WITH {_COUNTS}, len AS (SELECT doc_id, sum(tf) AS len FROM counts GR
 def _counts(spark, d):
     from tessera.operators.ranking import document_counts
 
-    return document_counts(table(spark, d, "documents"), {"text": 1})
+    return written(document_counts(spread(table(spark, d, "documents").select("doc_id", "text")), {"text": 1}), "counts")
 
 
 def _asked(spark, d, condition: str = "true"):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.plans.registry import query, table
+from tessera.sources.tables import spread
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _RAW_SQL = r"""list_transform(regexp_extract_all(regexp_replace(regexp_replace(translate(text, '_-/', '   '), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z][A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Za-z0-9_$]+'), lambda w: regexp_replace(lower(w), '^[_$]+|[_$]+$', '', 'g'))"""
@@ -23,12 +24,12 @@ def _docs(spark, d):
 
 @query("t1_terms", f"SELECT doc_id, len(ts) AS n_terms, md5(array_to_string(ts, ' ')) AS terms_md5 FROM (SELECT doc_id, {TERMS_SQL} AS ts FROM documents)")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", X.terms(F.col("text")).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_terms"), F.md5(F.array_join("ts", " ").cast("binary")).alias("terms_md5"))
+    return spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", X.terms(F.col("text")).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_terms"), F.md5(F.array_join("ts", " ").cast("binary")).alias("terms_md5"))
 
 
 @query("t2_identifier_terms", f"SELECT doc_id, len(ts) AS n_terms, md5(array_to_string(ts, ' ')) AS terms_md5 FROM (SELECT doc_id, list_filter({_RAW_SQL}, lambda t: length(t) >= 2) AS ts FROM documents)")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", X.identifier_terms(F.col("text")).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_terms"), F.md5(F.array_join("ts", " ").cast("binary")).alias("terms_md5"))
+    return spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", X.identifier_terms(F.col("text")).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_terms"), F.md5(F.array_join("ts", " ").cast("binary")).alias("terms_md5"))
 
 
 @query(
@@ -41,12 +42,12 @@ def _(spark, d):
 def _(spark, d):
     from tessera.operators.ranking import document_counts
 
-    return document_counts(_docs(spark, d), {"text": 1, "outline": 2, "source": 3}, outline=True)
+    return document_counts(spread(_docs(spark, d).select("doc_id", "text", "source")), {"text": 1, "outline": 2, "source": 3}, outline=True)
 
 
 @query("t5_identifier_tokens", r"SELECT doc_id, len(ts) AS n, md5(array_to_string(ts, ' ')) AS md5 FROM (SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda t: length(t) > 2), lambda t: lower(t)))) AS ts FROM documents)")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", X.identifier_tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n"), F.md5(F.array_join("ts", " ").cast("binary")).alias("md5"))
+    return spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", X.identifier_tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n"), F.md5(F.array_join("ts", " ").cast("binary")).alias("md5"))
 
 
 @query("t6_char_ngrams", "SELECT DISTINCT p_brand, array_to_string(list_transform(range(1, length(p_brand) + 1), lambda i: ('^' || p_brand || '$')[i:i+2]), '|') AS grams FROM part WHERE length(p_brand) > 0")
