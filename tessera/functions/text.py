@@ -198,6 +198,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), 0.0).otherwise(F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm))
 
 
+# Runs of blank lines and long hexadecimal runs that ``preprocess`` shortens.
+BLANK_RUN, HEX_BLOB = r"\n{3,}", r"\b[0-9a-fA-F]{96,}\b"
+
+
+def preprocess(text: Column) -> Column:
+    """A text without terminal codes, with LF line ends, single blank lines, shortened hexadecimal runs and folded repeated lines;
+    JSON without white space between its parts, where that is shorter. Never longer than the text."""
+    plain = F.regexp_replace(F.regexp_replace(strip_ansi(text), "\r\n?", "\n"), BLANK_RUN, "\n\n")
+    blobs = F.regexp_extract_all(plain, F.lit(HEX_BLOB), F.lit(0))
+    short = F.aggregate(F.array_distinct(blobs), plain, lambda acc, m: F.replace(acc, m, F.concat(F.substring(m, 1, 12), F.lit("…("), F.length(m).cast("string"), F.lit(" hex)"))))
+
+    def out(s: Column) -> Column:
+        core = F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))
+        packed = F.when(core.rlike(r"(?s)^[\[{].*[\]}]$"), F.to_json(F.try_parse_json(core)))
+        return F.when(packed.isNotNull() & (F.length(packed) + 1 < F.length(s)), F.concat(packed, F.lit("\n"))).otherwise(collapse_repeats(s))
+
+    return let(let(short, out), lambda s: F.when(F.length(s) <= F.length(text), s).otherwise(text))
+
+
 def collapse_repeats(text: Column, minimum: int = 3) -> Column:
     """Runs of equal non-blank lines as the line and a count, where that is shorter.
 

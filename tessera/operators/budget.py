@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 
 def largest_remainder(df: DataFrame, keys: list[str], name: str, weight: str, total: str, minimum: int = 0) -> DataFrame:
     """df with ``tokens``: a minimum each, the rest in proportion to the weights; what rounding leaves goes to the largest
@@ -70,7 +72,38 @@ def visual_tokens(width: Column, height: Column, patch: int = 28) -> Column:
     return (F.ceil(width / patch) * F.ceil(height / patch)).cast("long")
 
 
-def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+# Shares of a context's components by task.
+COMPONENTS = ("source", "history", "memory", "tool_results", "schemas", "reserve")
+SHARES = {
+    "general": (0.50, 0.15, 0.08, 0.10, 0.06, 0.11), "explanation": (0.45, 0.18, 0.10, 0.08, 0.05, 0.14), "coding": (0.60, 0.10, 0.06, 0.10, 0.05, 0.09),
+    "debugging": (0.50, 0.12, 0.05, 0.20, 0.04, 0.09), "review": (0.62, 0.10, 0.05, 0.08, 0.04, 0.11), "planning": (0.45, 0.15, 0.15, 0.07, 0.04, 0.14),
+}
+
 
+def context_budget(total: Column, task: Column, tier: Column, high_risk: Column, observed: dict[str, Column]) -> Column:
+    """A struct of tokens by component that always adds up to ``total``; null for unknown tasks.
 
+    Shares of the task, moved by complexity and risk, are rounded by largest remainders (ties: the greater name). A component with
+    an observed demand is cut to it; what that frees goes to the source as far as its demand is unknown or larger, the rest to the
+    reserve. A null demand is unknown.
+    """
+    hard = F.when(tier == "complex", 1.10).when(tier == "extended", 1.18)
+    table = F.create_map(*[x for k, v in SHARES.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    moved = {"source": F.coalesce(hard, F.lit(1.0)) * F.when(high_risk, 1.08).otherwise(1.0), "history": F.when(hard.isNotNull(), 1.06).otherwise(1.0), "schemas": F.when(hard.isNotNull(), 0.94).otherwise(1.0), "reserve": F.when(high_risk, 1.20).otherwise(1.0), "memory": F.when(high_risk, 0.92).otherwise(1.0)}
+    raw = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(i).alias("i"), (table[task][i] * moved.get(c, F.lit(1.0))).alias("w")) for i, c in enumerate(COMPONENTS)])
+    whole = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x["w"])
+    parts = let(whole, lambda n: F.transform(raw, lambda x: F.struct(x["i"].alias("i"), x["name"].alias("name"), F.floor(total * (x["w"] / n)).alias("low"), (total * (x["w"] / n) - F.floor(total * (x["w"] / n))).alias("rest"))))
+    left = lambda p: total - F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x["low"])
+    order = lambda p: F.reverse(F.array_sort(F.transform(p, lambda x: F.struct(F.round(x["rest"], 9).alias("rest"), x["name"].alias("name"), x["i"].alias("i"), x["low"].alias("low")))))
+    given = let(parts, lambda p: let(order(p), lambda o: F.transform(F.sequence(F.lit(0), F.lit(len(COMPONENTS) - 1)), lambda k: F.struct(F.get(o, k)["name"].alias("name"), (F.get(o, k)["low"] + (k < left(p)).cast("int")).alias("n")))))
+
+    def shared(g: Column) -> Column:
+        of = F.map_from_arrays(F.transform(g, lambda x: x["name"]), F.transform(g, lambda x: x["n"]))
+        want = {c: observed.get(c, F.lit(None)).cast("long") for c in COMPONENTS[:5]}
+        cut = {c: F.coalesce(F.least(of[c], want[c]), of[c]) for c in want}
+        freed = sum((of[c] - cut[c] for c in want), F.lit(0))
+        to_source = F.when(want["source"].isNull(), freed).otherwise(F.least(freed, F.greatest(F.lit(0), want["source"] - cut["source"])))
+        out = cut | {"source": cut["source"] + to_source, "reserve": of["reserve"] + freed - to_source}
+        return F.struct(*[out[c].cast("long").alias(c) for c in COMPONENTS])
+
+    return F.when(task.isin(*SHARES), let(given, shared))

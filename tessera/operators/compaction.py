@@ -64,14 +64,16 @@ def collapsed_runs(df: DataFrame, key: str, minimum: int = 3, text: str = "text"
 
 
 def route_processors(outputs: DataFrame, processors: DataFrame, command: str, failed: str) -> DataFrame:
-    """The first matching processor of each output, by priority and name.
+    """outputs with ``processor``: the first matching processor of each row, by priority and name, or generic.
 
-    processors: name, priority, command_regex, handles_failure, a small table by definition. A failed output skips those that
-    don't handle failure.
+    processors: name, priority, command_regex, handles_failure, a small table by definition; it becomes one expression, so rows
+    stay where they are. A failed output skips those that don't handle failure.
     """
     limit = 1000
-    if processors.limit(limit + 1).count() > limit:
+    rows = processors.select("priority", "name", "command_regex", "handles_failure").limit(limit + 1).collect()
+    if len(rows) > limit:
         raise ValueError("the processors are a dimension of some dozens of rows")
-    met = outputs.join(F.broadcast(processors), F.expr(f"{command} rlike command_regex") & (~F.col(failed) | F.col("handles_failure")), "left")
-    keys = outputs.columns
-    return met.groupBy(*keys).agg(F.min(F.struct("priority", "name")).alias("best")).select(*keys, F.coalesce("best.name", F.lit("generic")).alias("processor"))
+    chosen = F.when(F.lit(False), F.lit(""))
+    for r in sorted(rows):
+        chosen = chosen.when(F.col(command).rlike(r["command_regex"]) & (F.lit(r["handles_failure"]) | ~F.coalesce(F.col(failed), F.lit(False))), r["name"])
+    return outputs.withColumn("processor", chosen.otherwise("generic"))

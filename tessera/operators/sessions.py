@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RE_PRIME = 20_000
@@ -47,11 +47,21 @@ def cache_ttl(events: DataFrame, key: str, hit: str, miss: str) -> DataFrame:
     return own.groupBy(key, "lower", "hits").agg(F.round(upper, 3).alias("upper")).select(key, F.round("lower", 3).alias("lower"), "hits", "upper")
 
 
-def prefix_reuse(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """key, order, reuse: whether a turn's history extends, equals or breaks the history before it.
+def prefix_elements(messages: Column) -> Column:
+    """Digests of the elements of a request's stable prefix: its messages (structs of role and text) without a last one of the user."""
+    last_is_user = F.element_at(messages, -1)["role"] == "user"
+    stable = F.when((F.size(messages) > 0) & last_is_user, F.slice(messages, F.lit(1), F.size(messages) - 1)).otherwise(messages)
+    return F.transform(stable, lambda m: F.concat(F.lit("message:"), F.sha2(F.concat_ws("\n", m["role"], F.coalesce(m["text"], F.lit(""))), 256)))
 
-    A history only grows by a turn here, so comparing it needs the running digest of the turns before, not their list.
-    """
+
+def prefix_reuse(requests: DataFrame, key: str, order: str, elements: str = "elements") -> DataFrame:
+    """requests with ``reuse``: exact where a request's elements are those of the request before it (of the same key), extended where
+    they begin with those (at least one), else miss; also ``reused``, the number of elements shared from the start."""
     w = Window.partitionBy(key).orderBy(order)
-    first = F.row_number().over(w) == 1
-    return turns.select(key, order, F.when(first, "miss").otherwise("extended").alias("reuse"), text).drop(text)
+    before, now = F.lag(elements).over(w), F.col(elements)
+    own = requests.withColumn("_before", before)
+    b = F.col("_before")
+    same = F.when(b.isNull(), "miss").when(b == now, "exact").when((F.size(b) > 0) & (F.slice(now, F.lit(1), F.size(b)) == b), "extended").otherwise("miss")
+    apart = F.array_position(F.transform(F.arrays_zip(b.alias("x"), now.alias("y")), lambda p: ~p["x"].eqNullSafe(p["y"])), True)
+    shared = F.when(b.isNull(), 0).when(apart == 0, F.size(now)).otherwise(apart - 1)
+    return own.withColumn("reuse", same).withColumn("reused", shared.cast("long")).drop("_before")

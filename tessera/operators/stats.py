@@ -33,7 +33,7 @@ def paired(df: DataFrame, keys: list[str], arm: str, base: str, other: str, valu
 
 def arm_of(experiment: str, unit: Column, rate: float) -> Column:
     """'control' where the first 8 bytes of sha256(experiment:unit), over 2**64, are below the rate."""
-    share = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{experiment}:"), unit), 256), 1, 13), 16, 10).cast("double") / float(16**13)
+    share = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{experiment}:"), unit), 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / float(2**64)
     return F.when(share < rate, "control").otherwise("treatment")
 
 

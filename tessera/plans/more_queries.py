@@ -7,43 +7,77 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import query, table
 
-_PATH_SQL = "(CASE CAST(p_partkey % 8 AS INT) WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/x/' WHEN 2 THEN 'tests/' WHEN 3 THEN '../' WHEN 4 THEN './' WHEN 5 THEN 'docs/' WHEN 6 THEN 'lib/a/' ELSE '' END || CASE CAST(p_size % 5 AS INT) WHEN 0 THEN 'main.py' WHEN 1 THEN 'test_a.py' WHEN 2 THEN '.env' WHEN 3 THEN 'server.key' ELSE 'util.ts' END)"
+_DIRS = ["src/", "node_modules/x/", "tests/", "../", "./", "migrations/", "lib/a/", "scripts/b/"]
+_NAMES = ["main.py", "test_a.py", ".env", "server.key", "util.ts", "id_rsa", ".npmrc", ".env.dist", "release.keystore"]
+_PATH_SQL = f"({_DIRS}[CAST(p_partkey % {len(_DIRS)} AS INT) + 1] || {_NAMES}[CAST(p_size % {len(_NAMES)} AS INT) + 1])"
 
 
 def _paths(spark, d):
-    pick = lambda xs, c: F.get(F.array(*[F.lit(x) for x in xs]), c.cast("int"))
-    path = F.concat(pick(["src/", "node_modules/x/", "tests/", "../", "./", "docs/", "lib/a/", ""], F.col("p_partkey") % 8), pick(["main.py", "test_a.py", ".env", "server.key", "util.ts"], F.col("p_size") % 5))
-    return table(spark, d, "part").select("p_partkey", path.alias("path"))
+    pick = lambda xs, c: F.get(F.array(*[F.lit(x) for x in xs]), (c % len(xs)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.concat(pick(_DIRS, F.col("p_partkey")), pick(_NAMES, F.col("p_size"))).alias("path"))
 
 
-@query("s3_path_decision", f"SELECT p_partkey, CASE WHEN path LIKE '../%' THEN 'outside-root' WHEN path LIKE 'node_modules/%' THEN 'generated-or-vendor' WHEN path LIKE '%.env' OR path LIKE '%.key' THEN 'sensitive-path' ELSE 'allowed' END AS decision FROM (SELECT p_partkey, {_PATH_SQL} AS path FROM part)")
+@query("s3_path_decision", f"SELECT p_partkey, CASE WHEN path LIKE '../%' THEN 'outside-root' WHEN path LIKE 'node_modules/%' THEN 'generated-or-vendor' WHEN path LIKE '%.env' OR path LIKE '%.key' OR path LIKE '%id_rsa' OR path LIKE '%.npmrc' OR path LIKE '%.keystore' THEN 'sensitive-path' ELSE 'allowed' END AS decision FROM (SELECT p_partkey, {_PATH_SQL} AS path FROM part)")
 def _(spark, d):
     from tessera.functions.payloads import path_decision
 
     return _paths(spark, d).select("p_partkey", path_decision(F.col("path")).alias("decision"))
 
 
-@query("t23_file_priority", f"SELECT p_partkey, CASE WHEN path LIKE 'tests/%' OR path LIKE 'docs/%' OR path LIKE '%test_a.py' THEN 3 WHEN path LIKE '%main.py' THEN 0 WHEN path LIKE 'src/%' OR path LIKE 'lib/%' OR path LIKE './%' THEN 1 ELSE 2 END AS tier FROM (SELECT p_partkey, {_PATH_SQL} AS path FROM part)")
+@query("t23_file_priority", f"SELECT p_partkey, CASE WHEN path LIKE 'tests/%' OR path LIKE 'migrations/%' OR path LIKE 'scripts/%' OR path LIKE '%test_a.py' THEN 3 WHEN path LIKE '%main.py' THEN 0 WHEN path LIKE 'src/%' OR path LIKE 'lib/%' OR path LIKE './%' THEN 1 ELSE 2 END AS tier FROM (SELECT p_partkey, {_PATH_SQL} AS path FROM part)")
 def _(spark, d):
     from tessera.functions.payloads import file_priority
 
     return _paths(spark, d).select("p_partkey", file_priority(F.col("path")).alias("tier"))
 
 
-@query("t12_redact_command", r"SELECT doc_id, md5(regexp_replace(text[1:400], '(?i)\b(api[_-]?key|token|secret|password|passwd)(\s*[=:]\s*)[^\s&]+', '\1\2[REDACTED]', 'g')[1:320]) AS md5 FROM documents")
+_REDACTED_SQL = r"""trim(regexp_replace(text, '\s+', ' ', 'g'))"""
+for _rx, _to in (
+    (r"(?i)((?:password|passwd|token|secret|api[_-]?key)\s*[=:]\s*)(\S+)", r"\1<redacted>"), (r"(?i)(--(?:password|passwd|token|secret|api[-_]?key|authorization)\s+)(\S+)", r"\1<redacted>"),
+    (r"(?i)(authorization\s*:\s*(?:bearer\s+)?)(\S+)", r"\1<redacted>"), (r"(https?://[^:/\s]+:)[^@/\s]+@", r"\1<redacted>@"),
+):
+    _REDACTED_SQL = f"regexp_replace({_REDACTED_SQL}, '{_rx}', '{_to}', 'g')"
+
+
+# commands with each form of secret around the whole texts of documents
+@query("t12_redact_command", f"SELECT doc_id, md5(({_REDACTED_SQL})[1:320]) AS md5 FROM (SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'run --token  abc def ' WHEN 1 THEN 'curl https://me:pw@host/x ' WHEN 2 THEN 'Authorization: Bearer xyz  API_KEY = q1 ' ELSE '' END || text AS text FROM documents)")
 def _(spark, d):
     from tessera.functions.payloads import redact_command
 
-    return table(spark, d, "documents").select("doc_id", F.md5(redact_command(F.col("text")).cast("binary")).alias("md5"))
+    ahead = F.when(F.col("doc_id") % 4 == 0, "run --token  abc def ").when(F.col("doc_id") % 4 == 1, "curl https://me:pw@host/x ").when(F.col("doc_id") % 4 == 2, "Authorization: Bearer xyz  API_KEY = q1 ").otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.md5(redact_command(F.concat(ahead, "text")).cast("binary")).alias("md5"))
+
+
+#: Heads that, put before every tenth text, bring in each kind of payload.
+_HEADS = ["", "diff --git a/x b/x\n@@ -1 +1 @@\n", "|a|b|\n" * 40, "a,b\n1,2\n3,4\n5,6", "2024-01-02 INFO started\n", "a.py:1: x\na.py:2: y\nb.py:3: z\n", "def a():\nclass B:\nimport c\n", "[section]\nkey = 1\n", "a;b\tc\n", "a: 1\n"]
+
+
+def _kind_sql(table_sql: str) -> str:
+    from tessera.functions import payloads as P
 
+    q = lambda rx: rx.replace("'", "''")
+    hits = lambda n, rx: f"len(list_filter(f[1:{n}], lambda x: regexp_matches(x, '{q(rx)}')))"
+    w = lambda m: f"list_transform(f[1:80], lambda x: length(regexp_replace(x, '\"[^\"]*\"', '', 'g')) - length(replace(regexp_replace(x, '\"[^\"]*\"', '', 'g'), {m}, '')))"
+    delimited = " OR ".join(f"(len(f) >= 4 AND list_min({w(m)}) >= 1 AND list_min({w(m)}) = list_max({w(m)}))" for m in ("','", "chr(9)", "';'"))
+    return f"""SELECT id, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '^[\\[{{]') AND json_valid(t) THEN 'json' WHEN regexp_matches(text, '{q(P.DIFF_HEAD)}') AND contains(text, '@@') THEN 'diff'
+ WHEN regexp_matches(text, '{q(P.HTML_TAG)}') THEN 'html' WHEN len(f) >= 4 AND len(list_filter(f[1:100], lambda x: length(x) - length(replace(x, '|', '')) >= 2)) >= greatest(3, floor(least(len(f), 100) * 0.7::DOUBLE)) THEN 'markdown-table'
+ WHEN {delimited} THEN 'delimited-table' WHEN regexp_matches(text, '{q(P.LOG_LINE)}') THEN 'log' WHEN {hits(40, P.SEARCH_LINE)} >= 3 THEN 'search-results'
+ WHEN {hits(160, P.SOURCE_LINE)} >= 3 AND NOT regexp_matches(text, '{q(P.DIAGNOSTIC)}') THEN 'source' WHEN regexp_matches(text, '{q(P.INI_LINE)}') OR regexp_matches(text, '{q(P.YAML_LINE)}') THEN 'configuration' ELSE 'text' END AS kind
+ FROM (SELECT id, text, regexp_replace(text, '^\\s+', '') AS t, list_filter(string_split(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '\\S')) AS f FROM ({table_sql}))"""
 
-@query("t26_t27_content_kind", r"SELECT page_id AS id, CASE WHEN regexp_matches(trim(html), '(?i)^(<!doctype html|<html)') THEN 'html' ELSE 'plain' END AS kind FROM pages UNION ALL SELECT event_id, CASE WHEN regexp_matches(props, '^[\[{]') AND json_valid(props) THEN 'json' ELSE 'plain' END FROM events")
+
+_HEADS_SQL = "[" + ", ".join("'" + h.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for h in _HEADS) + "]"
+
+
+@query("t26_t27_content_kind", _kind_sql(f"SELECT 'p' || page_id AS id, html AS text FROM pages UNION ALL SELECT 'e' || event_id, props FROM events UNION ALL SELECT 'd' || doc_id, {_HEADS_SQL}[CAST(doc_id % 10 AS INT) + 1] || text FROM documents UNION ALL SELECT 'h' || c_custkey, {_HEADS_SQL}[CAST(c_custkey % 10 AS INT) + 1] FROM customer"))
 def _(spark, d):
     from tessera.functions.payloads import content_kind
 
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), content_kind(F.col("html")).alias("kind"))
-    kinds = F.when(F.col("kind").isin("html"), F.col("kind")).otherwise("plain")
-    return pages.select("id", kinds.alias("kind")).unionByName(table(spark, d, "events").select(F.col("event_id").alias("id"), content_kind(F.col("props")).alias("kind")))
+    head = lambda c: F.get(F.array(*[F.lit(h) for h in _HEADS]), (F.col(c) % len(_HEADS)).cast("int"))
+    own = lambda name, mark, key, text: table(spark, d, name).select(F.concat(F.lit(mark), key).alias("id"), text.alias("text"))
+    texts = own("pages", "p", "page_id", F.col("html")).union(own("events", "e", "event_id", F.col("props")))
+    texts = texts.union(own("documents", "d", "doc_id", F.concat(head("doc_id"), F.col("text")))).union(own("customer", "h", "c_custkey", head("c_custkey")))
+    return texts.select("id", content_kind(F.col("text")).alias("kind"))
 
 
 @query("t31_path_overlap", "SELECT p_partkey, len(list_intersect(list_distinct(string_split(lower(p_type), ' ')), ['steel', 'large', 'small'])) AS overlap FROM part")
@@ -228,12 +262,33 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(b < 100000, 4).when(b < 200000, 8).otherwise(12).alias("seeds"), F.when(b < 100000, 1).otherwise(2).alias("hops"))
 
 
-@query("b6_context_budget", "WITH w AS (SELECT s_nationkey, s_suppkey, s_name, 1 + s_suppkey % 3 AS w, 500 AS cap FROM supplier), r AS (SELECT *, 6000 * (w / sum(w) OVER (PARTITION BY s_nationkey)::DOUBLE) AS raw FROM w), f AS (SELECT *, floor(raw) AS fl, 6000 - sum(floor(raw)) OVER (PARTITION BY s_nationkey) AS lft, row_number() OVER (PARTITION BY s_nationkey ORDER BY round(raw - floor(raw), 9) DESC, s_name DESC) AS rk FROM r) SELECT s_suppkey, least(500, CAST(fl + (rk <= lft)::INT AS BIGINT)) AS tokens FROM f")
+_B6_NAMES = ["source", "history", "memory", "tool_results", "schemas", "reserve"]
+
+
+@query(
+    "b6_context_budget",
+    f"""WITH b(task, ws) AS (VALUES ('general', [0.50::DOUBLE, 0.15, 0.08, 0.10, 0.06, 0.11]), ('coding', [0.60::DOUBLE, 0.10, 0.06, 0.10, 0.05, 0.09]), ('debugging', [0.50::DOUBLE, 0.12, 0.05, 0.20, 0.04, 0.09])),
+ c AS (SELECT o_orderkey, 1000 + o_custkey AS total, ['general', 'coding', 'debugging'][CAST(o_orderkey % 3 AS INT) + 1] AS task, ['simple', 'complex', 'extended'][CAST(o_custkey % 3 AS INT) + 1] AS tier, o_orderstatus = 'F' AS risk,
+  CASE WHEN o_custkey % 2 = 0 THEN o_custkey // 20 END AS want_history, CASE WHEN o_custkey % 5 = 0 THEN o_custkey // 3 END AS want_source, 40 AS want_tools FROM orders),
+ w AS (SELECT c.*, unnest({_B6_NAMES}) AS name, unnest(ws) AS w FROM c JOIN b USING (task)),
+ m AS (SELECT *, w * CASE name WHEN 'source' THEN (CASE tier WHEN 'complex' THEN 1.10::DOUBLE WHEN 'extended' THEN 1.18 ELSE 1.0 END) * (CASE WHEN risk THEN 1.08::DOUBLE ELSE 1.0 END) WHEN 'history' THEN (CASE WHEN tier = 'simple' THEN 1.0::DOUBLE ELSE 1.06 END)
+  WHEN 'schemas' THEN (CASE WHEN tier = 'simple' THEN 1.0::DOUBLE ELSE 0.94 END) WHEN 'reserve' THEN (CASE WHEN risk THEN 1.20::DOUBLE ELSE 1.0 END) WHEN 'memory' THEN (CASE WHEN risk THEN 0.92::DOUBLE ELSE 1.0 END) ELSE 1.0 END AS mw FROM w),
+ r AS (SELECT *, total * (mw / sum(mw) OVER (PARTITION BY o_orderkey)) AS raw FROM m),
+ f AS (SELECT *, floor(raw) AS fl, total - sum(floor(raw)) OVER (PARTITION BY o_orderkey) AS lft, row_number() OVER (PARTITION BY o_orderkey ORDER BY round(raw - floor(raw), 9) DESC, name DESC) AS rk FROM r),
+ g AS (SELECT *, CAST(fl + (rk <= lft)::INT AS BIGINT) AS n, CASE name WHEN 'history' THEN want_history WHEN 'source' THEN want_source WHEN 'tool_results' THEN want_tools END AS want FROM f),
+ k AS (SELECT *, coalesce(least(n, want), n) AS cut FROM g), s AS (SELECT *, sum(n - cut) OVER (PARTITION BY o_orderkey) AS freed, max(cut) FILTER (name = 'source') OVER (PARTITION BY o_orderkey) AS src FROM k),
+ t AS (SELECT *, CASE WHEN want_source IS NULL THEN freed ELSE least(freed, greatest(0, want_source - src)) END AS ts FROM s)
+ SELECT o_orderkey, name, CAST(cut + CASE name WHEN 'source' THEN ts WHEN 'reserve' THEN freed - ts ELSE 0 END AS BIGINT) AS tokens FROM t""",
+)
 def _(spark, d):
-    from tessera.operators.budget import largest_remainder
+    from tessera.operators.budget import context_budget
 
-    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name", (1 + F.col("s_suppkey") % 3).alias("w"), F.lit(6000).alias("total"))
-    return largest_remainder(s, ["s_nationkey"], "s_name", "w", "total").select("s_suppkey", F.least(F.lit(500), F.col("tokens")).cast("long").alias("tokens"))
+    pick = lambda xs, c: F.get(F.array(*[F.lit(x) for x in xs]), (F.col(c) % len(xs)).cast("int"))
+    third = lambda n: F.floor(F.col("o_custkey") / n)
+    seen = {"history": F.when(F.col("o_custkey") % 2 == 0, third(20)), "source": F.when(F.col("o_custkey") % 5 == 0, third(3)), "tool_results": F.lit(40)}
+    plan = context_budget(1000 + F.col("o_custkey"), pick(["general", "coding", "debugging"], "o_orderkey"), pick(["simple", "complex", "extended"], "o_custkey"), F.col("o_orderstatus") == "F", seen)
+    own = table(spark, d, "orders").select("o_orderkey", plan.alias("p"))
+    return own.select("o_orderkey", F.explode(F.create_map(*[x for c in _B6_NAMES for x in (F.lit(c), F.col(f"p.{c}"))])).alias("name", "tokens"))
 
 
 @query("b7_output_budget", "SELECT o_orderkey, CAST(greatest(250, least(2200, floor(o_custkey * (CASE o_orderstatus WHEN 'F' THEN 0.7::DOUBLE WHEN 'O' THEN 1.25 ELSE 1.5 END)))) AS BIGINT) AS budget FROM orders")
@@ -323,12 +378,13 @@ def _(spark, d):
     return running_max(table(spark, d, "events"), "user_id", ["value"])
 
 
-@query("st8_feedback", "SELECT user_id, greatest(-10, least(10, CAST(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS BIGINT))) AS value FROM events GROUP BY 1")
+# many more ups than downs, so that counters saturate
+@query("st8_feedback", "SELECT user_id, CAST(list_reduce(list_concat([0], list(CASE WHEN event_type IN ('purchase', 'view', 'click') THEN 1 WHEN event_type = 'error' THEN -3 ELSE 0 END ORDER BY ts, event_id)), lambda a, b: greatest(-10, least(10, a + b))) AS BIGINT) AS value FROM events GROUP BY 1")
 def _(spark, d):
     from tessera.streaming.state import bounded_counter
 
-    e = table(spark, d, "events").withColumn("delta", F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0))
-    return bounded_counter(e, "user_id", "delta")
+    e = table(spark, d, "events").withColumn("delta", F.when(F.col("event_type").isin("purchase", "view", "click"), 1).when(F.col("event_type") == "error", -3).otherwise(0))
+    return bounded_counter(e, "user_id", "delta", ["ts", "event_id"], bucket=F.to_date("ts"))
 
 
 @query("st10_sliding", "SELECT start_at, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) - unnest([INTERVAL 0 MINUTE, INTERVAL 30 MINUTE]) AS start_at FROM events) GROUP BY 1, 2")

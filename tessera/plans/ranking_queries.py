@@ -227,7 +227,7 @@ def _(spark, d):
 # ---- statistics ------------------------------------------------------------------------------------------------------
 
 
-@query("x7_arm_assignment", "SELECT c_custkey, CASE WHEN CAST('0x' || sha256('exp:' || CAST(c_custkey AS VARCHAR))[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE < 0.2 THEN 'control' ELSE 'treatment' END AS arm FROM customer")
+@query("x7_arm_assignment", "SELECT c_custkey, CASE WHEN CAST(CAST('0x' || sha256('exp:' || CAST(c_custkey AS VARCHAR))[1:16] AS UBIGINT) AS DOUBLE) / 18446744073709551616.0::DOUBLE < 0.2 THEN 'control' ELSE 'treatment' END AS arm FROM customer")
 def _(spark, d):
     from tessera.operators.stats import arm_of
 

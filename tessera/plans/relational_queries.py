@@ -354,11 +354,24 @@ def _(spark, d):
     return fit_prefix(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 20000).select("doc_id", "source")
 
 
-@query("w17_prefix_reuse", "WITH c AS (SELECT conv_id, turn, list(md5(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS p FROM conversations), l AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c) SELECT conv_id, turn, CASE WHEN b IS NULL THEN 'miss' WHEN p = b THEN 'exact' WHEN p[1:len(b)] = b THEN 'extended' ELSE 'miss' END AS reuse FROM l")
+# every fourth request has its first message edited, so prefixes break and are taken up again
+@query(
+    "w17_prefix_reuse",
+    """WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+ p AS (SELECT conv_id, turn, role, list('message:' || sha256(role || chr(10) || text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS p FROM m),
+ c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN p[1:len(p) - 1] ELSE p END AS p FROM p),
+ e AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 AND len(p) > 0 THEN list_concat(['edited'], p[2:]) ELSE p END AS p FROM c),
+ l AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM e)
+ SELECT conv_id, turn, CASE WHEN b IS NULL THEN 'miss' WHEN p = b THEN 'exact' WHEN len(b) > 0 AND p[1:len(b)] = b THEN 'extended' ELSE 'miss' END AS reuse FROM l""",
+)
 def _(spark, d):
-    from tessera.operators.sessions import prefix_reuse
+    from tessera.operators.sessions import prefix_elements, prefix_reuse
 
-    return prefix_reuse(table(spark, d, "conversations"), "conv_id", "turn", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    seen = table(spark, d, "conversations").withColumn("messages", F.collect_list(F.struct("role", "text")).over(w))
+    e = prefix_elements(F.col("messages"))
+    edited = F.when((F.col("turn") % 4 == 3) & (F.size(e) > 0), F.concat(F.array(F.lit("edited")), F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0))))).otherwise(e)
+    return prefix_reuse(seen.select("conv_id", "turn", edited.alias("elements")), "conv_id", "turn").select("conv_id", "turn", "reuse")
 
 
 @query("w18_change_point", "SELECT user_id, round(avg(value) FILTER (WHERE ts < TIMESTAMP '2024-01-15'), 4) AS before, round(avg(value) FILTER (WHERE ts >= TIMESTAMP '2024-01-15'), 4) AS after FROM events GROUP BY 1")

@@ -72,6 +72,15 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", X.collapse_repeats(F.col("text")).alias("folded")).select("doc_id", F.length("folded").cast("long").alias("n_chars"), F.md5(F.col("folded").cast("binary")).alias("md5"))
 
 
+# texts between terminal codes, CRLF ends, blank runs and a hexadecimal run; JSON payloads of events, spaced out
+@query("t10_preprocess")
+def _(spark, d):
+    esc, blob = F.lit("\x1b[1m"), F.lit("\r\n\r\n\r\n\r\n" + "0a1b2c3d" * 16 + " end\r\n")
+    texts = _docs(spark, d).select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(esc, "text", blob).alias("text"))
+    spaced = table(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("id"), F.regexp_replace("props", ":", "  :   ").alias("text"))
+    return texts.union(spaced).select("id", X.preprocess(F.col("text")).alias("t")).select("id", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("md5"))
+
+
 _SECRET_SQL = r"""(?i)\b(?:api[_-]?key|secret|token|password)\b\s*[:=]\s*[''"][^''"\n]{8,}[''"]"""
 
 
