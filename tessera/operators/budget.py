@@ -25,6 +25,18 @@ def coverage_target(max_files: Column, n: Column, available: Column) -> Column:
     return F.least(max_files, n, F.floor(available / 300))
 
 
+def section_budget(remaining: Column, index: Column, selected: Column, max_files: Column, n: Column, authority: Column, coverage: Column, pending: Column, pending_index: Column, pending_reserve: Column, least: int = 300) -> Column:
+    """Tokens for the candidate at ``index``: three fifths of what remains for an authority, two fifths for others, ``least`` at least,
+    all of it for the last one; minus what the coverage slots after it and a pending authority need."""
+    share = F.greatest(F.floor(remaining * F.when(authority, 3).otherwise(2) / 5), F.lit(least))
+    own = F.when((selected + 1 < max_files) & (index + 1 < n), F.least(remaining, share)).otherwise(remaining)
+    slots = F.when((coverage > 0) & (index < coverage), F.greatest(F.lit(0), coverage - index - 1) * least).otherwise(0)
+    covered = F.coalesce((index < pending_index) & (pending_index < coverage), F.lit(False))
+    held = F.when(pending, F.when(covered, F.greatest(F.lit(0), pending_reserve - least)).otherwise(pending_reserve)).otherwise(0)
+    reserve = slots + held
+    return F.when(remaining <= 0, 0).when(reserve > 0, F.least(own, F.greatest(F.lit(0), remaining - reserve))).otherwise(own).cast("long")
+
+
 def fit_prefix(df: DataFrame, keys: list[str], order: list[str], tokens: str, budget: int) -> DataFrame:
     """The longest prefix of each group whose tokens stay within the budget."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

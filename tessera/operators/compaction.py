@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ERROR_HINTS
+from tessera.functions.text import ERROR_HINTS, let, lines
 
 
 def exploded(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -63,6 +63,65 @@ def collapsed_runs(df: DataFrame, key: str, minimum: int = 3, text: str = "text"
     return runs.where((F.col("n") >= minimum) & (F.trim("line") != "")).select(key, F.col("start").cast("long").alias("start"), "line", "n")
 
 
+def ranked_windows(text: Column, words: Column, size: int = 80, overlap: int = 20, top: int = 8) -> Column:
+    """Windows of lines (structs score, start_at, end_at, from 1) of a text by what they hold of the words: twice each word's count, 8
+    at most, and 5 where it is declared; the first window has 0.25 more. Best first; without any hit the first, middle and last."""
+
+    def of(a: Column) -> Column:
+        n = F.size(a)
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), n - overlap), F.lit(size - overlap))
+        spans = F.transform(steps, lambda s: F.struct(s.alias("start_at"), F.least(n, s + size - 1).alias("end_at")))
+
+        def scored(w: Column) -> Column:
+            def body(b: Column) -> Column:
+                def part(acc: Column, t: Column) -> Column:
+                    count = ((F.length(b) - F.length(F.replace(b, t, F.lit("")))) / F.length(t)).cast("int")
+                    declared = F.regexp_like(b, F.concat(F.lit(r"\b(?:class|def|function|async\s+function|interface|type|const|let|var)\s+"), F.regexp_replace(t, r"([^A-Za-z0-9_])", r"\\\\$1"), F.lit(r"\b")))
+                    return acc + F.least(count, F.lit(8)) * 2.0 + F.when((count > 0) & declared, 5.0).otherwise(0.0)
+
+                return F.aggregate(words, F.when(w["start_at"] == 1, 0.25).otherwise(0.0), part)
+
+            text_of = F.lower(F.array_join(F.slice(a, w["start_at"], w["end_at"] - w["start_at"] + 1), "\n"))
+            return F.struct((-let(text_of, body)).alias("less"), w["start_at"].alias("start_at"), w["end_at"].alias("end_at"))
+
+        out = lambda x: F.struct((-x["less"]).alias("score"), x["start_at"].alias("start_at"), x["end_at"].alias("end_at"))
+
+        def chosen(r: Column) -> Column:
+            hits = F.slice(F.array_sort(F.filter(r, lambda x: x["less"] < 0)), 1, top)
+            spread = F.array(F.get(r, F.lit(0)), F.get(r, F.floor(F.size(r) / 2).cast("int")), F.element_at(r, -1))
+            return F.transform(F.when((F.size(hits) > 0) & (F.size(words) > 0), hits).otherwise(F.array_distinct(spread)), out)
+
+        return F.when(n > 0, let(F.transform(spans, scored), chosen)).otherwise(F.array().cast("array<struct<score:double,start_at:int,end_at:int>>"))
+
+    return let(lines(text), of)
+
+
+def compressed_log(text: Column, words: Column, critical: str = r"(?i)(error|exception|fail|fatal|panic|traceback|assert|caused by)", max_lines: int = 80, edge: int = 12) -> Column:
+    """The first and last lines of a log and, between them, the first critical lines and lines with one of the words, ``max_lines`` in all."""
+
+    def of(a: Column) -> Column:
+        n = F.size(a)
+        low = F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        inside = lambda r: (r["i"] >= edge) & (r["i"] < n - edge)
+        told = lambda r: r["x"].rlike(critical) | F.exists(words, lambda w: F.contains(F.lower(r["x"]), w))
+        room = F.greatest(F.lit(0), max_lines - F.least(n, F.lit(2 * edge)))
+        middle = F.slice(F.filter(low, lambda r: inside(r) & told(r)), F.lit(1), room)
+        rows = F.slice(F.concat(F.slice(a, 1, edge), F.transform(middle, lambda r: r["x"]), F.slice(a, F.greatest(F.lit(edge), n - edge) + 1, edge)), 1, max_lines)
+        note = F.concat(F.lit("[log: "), n.cast("string"), F.lit(" lines -> "), F.size(rows).cast("string"), F.lit(" retained]"))
+        return F.when(n <= max_lines, text).otherwise(F.concat(F.array_join(F.concat(F.array(note), rows), "\n"), F.lit("\n")))
+
+    return let(lines(text), of)
+
+
+def distinct_hits(hits: Column, most: int = 3, overlap: float = 0.70) -> Column:
+    """Of hits (structs with start_at and end_at, best first) those that overlap no kept one by that share of the shorter, ``most`` at most."""
+    from tessera.operators.intervals import overlap_ratio
+
+    near = lambda a, b: overlap_ratio(a["start_at"], a["end_at"] + 1, b["start_at"], b["end_at"] + 1) >= overlap
+    none = F.slice(hits, 1, 0)
+    return F.aggregate(hits, none, lambda acc, h: F.when((F.size(acc) < most) & ~F.exists(acc, lambda k: near(k, h)), F.concat(acc, F.array(h))).otherwise(acc))
+
+
 def route_processors(outputs: DataFrame, processors: DataFrame, command: str, failed: str) -> DataFrame:
     """outputs with ``processor``: the first matching processor of each row, by priority and name, or generic.
 
