@@ -7,10 +7,10 @@ of one chunk (all allowed errors of all chunks), and every pair within that dist
 symbols, not single bits: at a similarity of 0.75 a quarter of the symbols differ, and over single bits such a radius
 would put every pair of documents into some bucket. At similarity 0.75 the chance to differ in more than 31 of 64 symbols
 is below 1 in 50,000. Pairs of a bucket are first held to the distance over all 512 symbols (low 4 bits; MAX_DIFFERENT is
-4.2 standard deviations above the mean at 0.75, a chance as small as that of the radius) and to the ratio of the set sizes, then confirmed on the full sets.
+3.7 standard deviations above the mean at 0.75, which a pair right at 0.75 misses once in 9,000 times) and to the ratio of the set sizes, then confirmed on the full sets.
 
-No bucket ever yields all its pairs. Two star rounds pair every member with the pivot of its bucket, by an equi-join on the
-bucket's key, confirm the nearest, and form components; only then pairs across components are looked at. There a bucket is split into
+No bucket ever yields all its pairs. Two star rounds, each over the buckets of eight chunks, pair every member with the
+pivot of its bucket, by an equi-join on the bucket's key, confirm the nearest, and form components; only then pairs across components are looked at. There a bucket is split into
 blocks of about BLOCK_ROWS rows: rows of one (large) component are dealt over blocks, the other rows meet each of them, so
 no task holds more than two blocks, whatever the bucket's size. Classes are numbered in the order of their least doc_id, so
 the least number of a component is that of its least doc_id.
@@ -37,7 +37,7 @@ from tessera.llm.shingles import mix, set_digest, shingle_set, signatures
 
 SYMBOLS, KEY_SYMBOLS, CHUNK = 512, 64, 4
 #: Of 512 symbols with 4 bits kept: mean 120 and standard deviation 9.6 at similarity 0.75.
-MAX_DIFFERENT = 160
+MAX_DIFFERENT = 156
 #: Bits of the bitmap of needed documents for each of them, and its bounds (32 KB to 128 MB, broadcast).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 18, 30
 #: Orders that choose pivots, and how many of the pivots near it a class is verified with in a star round.
@@ -290,8 +290,11 @@ def linked(docs: DataFrame, min_percent: int = 75, also: list[str] | None = None
         labels = None
 
         for round_no in range(2):
-            own = _labelled(met, labels)
-            stars = own.join(_buckets(own, round_no), "key").where("label <> big").select(F.col("cid").alias("u"), F.col("pivot").alias("v"), F.col("label").alias("lu"), F.col("big").alias("lv")).distinct()
+            # eight chunks of the sixteen: nearly all pairs at 0.75 share a bucket of theirs, and the others are left to the last step
+            own = _labelled(met.where(F.floor(F.shiftright("key", 50) / 8) == round_no), labels)
+            stars = own.join(_buckets(own, round_no), "key").where("label <> big").select(F.col("cid").alias("u"), F.col("pivot").alias("v"), F.col("label").alias("lu"), F.col("big").alias("lv"))
+            shared = stars.groupBy("u", "v", "lu", "lv").agg(F.count("*").alias("buckets"))
+            stars = shared.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("buckets"), "v"))).where(F.col("place") <= NEAREST + 1)
             x, y = (sketched.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
             close = stars.join(x, "u").join(y, "v").select("nu", "nv", "su", "sv", "u", "v", "lu", "lv").mapInArrow(_close, "u long, v long, lu long, lv long, d long")
             best = close.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("place") <= NEAREST)
