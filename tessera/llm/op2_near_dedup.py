@@ -9,7 +9,7 @@ would put every pair of documents into some bucket. At similarity 0.75 the chanc
 is below 1 in 50,000. Pairs of a bucket are first held to the distance over all 512 symbols (low 4 bits; MAX_DIFFERENT is
 3.7 standard deviations above the mean at 0.75, which a pair right at 0.75 misses once in 9,000 times) and to the ratio of the set sizes, then confirmed on the full sets.
 
-No bucket ever yields all its pairs. Two star rounds, each over the buckets of eight chunks, pair every member with the
+No bucket ever yields all its pairs. Two star rounds, each over the buckets of four chunks, pair every member with the
 pivot of its bucket, by an equi-join on the bucket's key, confirm the nearest, and form components; only then pairs across components are looked at. There a bucket is split into
 blocks of about BLOCK_ROWS rows: rows of one (large) component are dealt over blocks, the other rows meet each of them, so
 no task holds more than two blocks, whatever the bucket's size. Classes are numbered in the order of their least doc_id, so
@@ -182,11 +182,12 @@ def _cross(g: dict[str, np.ndarray]) -> list[tuple]:
             apart &= np.minimum(n, m) * 100 >= np.maximum(n, m) * 75
             i, j = np.nonzero(apart)
             if len(i):
-                ok = _different(sk[x][i], sk[y][j]) <= MAX_DIFFERENT
+                d = _different(sk[x][i], sk[y][j])
+                ok = d <= MAX_DIFFERENT
                 if ok.any():  # a pair is told in the first of its buckets only
                     ok[ok] = first_key(sym[x][i[ok]], sym[y][j[ok]]) == key[x][i[ok]] >> 48
                 i, j = i[ok], j[ok]
-                found += zip(cid[x][i].tolist(), cid[y][j].tolist(), lab[x][i].tolist(), lab[y][j].tolist())
+                found += zip(cid[x][i].tolist(), cid[y][j].tolist(), lab[x][i].tolist(), lab[y][j].tolist(), d[ok].tolist())
     return found
 
 
@@ -290,11 +291,9 @@ def linked(docs: DataFrame, min_percent: int = 75, also: list[str] | None = None
         labels = None
 
         for round_no in range(2):
-            # eight chunks of the sixteen: nearly all pairs at 0.75 share a bucket of theirs, and the others are left to the last step
-            own = _labelled(met.where(F.floor(F.shiftright("key", 50) / 8) == round_no), labels)
-            stars = own.join(_buckets(own, round_no), "key").where("label <> big").select(F.col("cid").alias("u"), F.col("pivot").alias("v"), F.col("label").alias("lu"), F.col("big").alias("lv"))
-            shared = stars.groupBy("u", "v", "lu", "lv").agg(F.count("*").alias("buckets"))
-            stars = shared.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("buckets"), "v"))).where(F.col("place") <= NEAREST + 1)
+            # four chunks of the sixteen: nearly all pairs at 0.75 share a bucket of theirs, and the others are left to the last step
+            own = _labelled(met.where(F.floor(F.shiftright("key", 50) / 4) == round_no), labels)
+            stars = own.join(_buckets(own, round_no), "key").where("label <> big").select(F.col("cid").alias("u"), F.col("pivot").alias("v"), F.col("label").alias("lu"), F.col("big").alias("lv")).distinct()
             x, y = (sketched.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
             close = stars.join(x, "u").join(y, "v").select("nu", "nv", "su", "sv", "u", "v", "lu", "lv").mapInArrow(_close, "u long, v long, lu long, lv long, d long")
             best = close.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("place") <= NEAREST)
@@ -313,9 +312,17 @@ def linked(docs: DataFrame, min_percent: int = 75, also: list[str] | None = None
         dealt = F.when(F.col("in_big"), groups(F.col("h"), lambda j: place(0, at, j, F.lit(1)))).otherwise(F.concat(groups(F.col("g"), lambda i: place(0, i, at, F.lit(0))), among))
         names = ["gid", "key", "cid", "label", "side", "n", "sketch", "symbols"]
         spread = own.join(classes.select("cid", "n", "sketch", "symbols"), "cid").select("*", F.explode(dealt).alias("x")).select("*", "x.*").select(*names)
-        four = pa.schema([(c, pa.int64()) for c in ("u", "v", "lu", "lv")])
-        pairs = spread.repartition("gid").sortWithinPartitions("gid").mapInArrow(_grouped(names, _cross, four), "u long, v long, lu long, lv long")
-        labels = _merged(labels, components(_verify(pairs, docs, classes, min_percent)))
+        told = pa.schema([(c, pa.int64()) for c in ("u", "v", "lu", "lv", "d")])
+        pairs = materialise(spread.repartition("gid").sortWithinPartitions("gid").mapInArrow(_grouped(names, _cross, told), "u long, v long, lu long, lv long, d long"), "cross")
+        # the nearest pairs of two components first: where they are linked, the other pairs of theirs need no proof
+        apart = Window.partitionBy(F.least("lu", "lv"), F.greatest("lu", "lv")).orderBy("d", "u", "v")
+        first = materialise(pairs.withColumn("place", F.row_number().over(apart)).where(F.col("place") <= NEAREST), "first")
+        joined = components(_verify(first, docs, classes, min_percent))
+        labels = _merged(labels, joined)
+        a, b = (joined.select(F.col("node").alias(f"l{c}"), F.col("comp").alias(f"c{c}")) for c in "uv")
+        rest = pairs.join(first.select("u", "v"), ["u", "v"], "left_anti").join(a, "lu", "left").join(b, "lv", "left")
+        rest = rest.select("u", "v", F.coalesce("cu", "lu").alias("lu"), F.coalesce("cv", "lv").alias("lv")).where("lu <> lv")
+        labels = _merged(labels, components(_verify(rest, docs, classes, min_percent)))
 
         named = materialise(classes.join(labels, classes.cid == labels.node, "left").select("class", F.coalesce("comp", "cid").alias("label")), "named")
         least = classes.select(F.col("cid").alias("label"), F.col("rep_id").alias("component_id"))
