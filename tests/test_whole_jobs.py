@@ -78,7 +78,7 @@ def test_eligible_brands_of_every_order(spark, sf):
 
 def test_redaction_reads_the_whole_text(spark, tmp_path):
     texts = ["token=" + "x" * 390 + " and " + "tail " * 100, "a" * 300 + " password=" + "y" * 200 + " end"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    want = ["token=[REDACTED] and " + "tail " * 100, "a" * 300 + " password=[REDACTED] end"]
+    spark.createDataFrame(list(zip((3, 7), texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = ["token=<redacted> and " + "tail " * 100, "a" * 300 + " password=<redacted> end"]
     got = {r["doc_id"]: r["md5"] for r in QUERIES["t12_redact_command"](spark, str(tmp_path)).collect()}
-    assert got == {i: hashlib.md5(t[:320].encode()).hexdigest() for i, t in enumerate(want)}
+    assert got == {i: hashlib.md5(t[:320].encode()).hexdigest() for i, t in zip((3, 7), want)}
