@@ -29,3 +29,26 @@ def pointer_candidates(pointer: Column) -> Column:
 def field_paths(json: Column) -> Column:
     """The top-level fields of an object."""
     return F.json_object_keys(json)
+
+
+# Words of a name and values of a state that tell of trouble.
+TROUBLE = "error|exception|warning|failure|failed"
+STATE_NAMES = ("status", "state", "level", "severity")
+STATES = ("error", "failed", "failure", "fatal", "critical", "warning", "warn")
+
+
+def canonical_json(json: Column) -> Column:
+    """Compact JSON with the names of every object in order; null where the text is no JSON."""
+    return F.to_json(F.try_parse_json(json))
+
+
+def json_anomaly(json: Column) -> Column:
+    """Whether an object has a field named for trouble with something in it, or a state that is bad; false for all else."""
+    fields = F.map_entries(F.from_json(json, "map<string, variant>"))
+
+    def bad(e: Column) -> Column:
+        name, raw = F.lower(e["key"]), F.coalesce(F.to_json(e["value"]), F.lit("null"))
+        empty = raw.isin("null", "false", '""', "[]", "{}") | raw.rlike(r"^-?0(\.0*)?([eE].*)?$")
+        return (name.rlike(TROUBLE) & ~empty) | (name.isin(*STATE_NAMES) & F.lower(F.btrim(raw, F.lit('"'))).isin(*STATES))
+
+    return F.coalesce(F.exists(fields, bad), F.lit(False))

@@ -65,3 +65,34 @@ def prefix_reuse(requests: DataFrame, key: str, order: str, elements: str = "ele
     apart = F.array_position(F.transform(F.arrays_zip(b.alias("x"), now.alias("y")), lambda p: ~p["x"].eqNullSafe(p["y"])), True)
     shared = F.when(b.isNull(), 0).when(apart == 0, F.size(now)).otherwise(apart - 1)
     return own.withColumn("reuse", same).withColumn("reused", shared.cast("long")).drop("_before")
+
+
+def waste_signals(calls: DataFrame, session: str, turn: str, order: list[str], command: str, output: str, failed: str, edit: str) -> DataFrame:
+    """session, turn, signal, about and the order columns of its first call: each signal is told once in a turn.
+
+    repeat: three of the session's last ten calls have this command and turn. retry: three of its last six failures have this
+    command, output and turn. cascade: twelve calls of the turn without an edit. ``failed`` and ``edit`` are boolean columns.
+    Windows hold ten and six rows; a session is one conversation.
+    """
+    w = Window.partitionBy(session).orderBy(*order)
+    same = lambda frame, *names: F.size(F.filter(F.collect_list(F.struct(*names)).over(frame), lambda x: x == F.struct(*names)))
+    tag = lambda df, signal, about, where: df.where(where).select(session, turn, F.lit(signal).alias("signal"), about.cast("string").alias("about"), *order)
+    one = calls.select(session, turn, *order, command, F.coalesce(output, F.lit("")).alias("_out"), F.coalesce(failed, F.lit(False)).alias("_bad"), F.coalesce(edit, F.lit(False)).cast("int").alias("_edit"))
+    spent = Window.partitionBy(session, turn).orderBy(*order)
+    seen = one.withColumn("_n", same(w.rowsBetween(-9, 0), turn, command)).withColumn("_calls", F.row_number().over(spent)).withColumn("_edits", F.sum("_edit").over(spent))
+    failures = one.where("_bad").withColumn("_n", same(w.rowsBetween(-5, 0), turn, command, "_out"))
+    told = tag(seen, "repeat", F.col(command), F.col("_n") >= 3)
+    told = told.unionByName(tag(failures, "retry", F.concat_ws(":", command, F.md5(F.col("_out").cast("binary"))), (F.col("_n") >= 3) & (F.col("_out") != "")))
+    told = told.unionByName(tag(seen, "cascade", F.lit(""), (F.col("_calls") >= 12) & (F.col("_edits") == 0)))
+    first = told.groupBy(session, turn, "signal", "about").agg(F.min(F.struct(*order)).alias("_f"))
+    return first.select(session, turn, "signal", "about", "_f.*")
+
+
+def diagnostics_delta(snapshots: DataFrame, keys: list[str], order: list[str], found: str) -> DataFrame:
+    """snapshots with ``added``, ``resolved`` and ``remaining`` against the snapshot before of the same keys; null for the first,
+    and where the one before had nothing. ``found`` is an array; a null one is empty."""
+    own = snapshots.withColumn(found, F.coalesce(F.col(found), F.array().cast(snapshots.schema[found].dataType)))
+    before = F.lag(found).over(Window.partitionBy(*keys).orderBy(*order))
+    out = own.withColumn("_before", F.when(F.size(before) > 0, before))
+    sets = {"added": F.array_except(found, "_before"), "resolved": F.array_except("_before", found), "remaining": F.array_intersect(found, "_before")}
+    return out.withColumns({name: F.array_sort(value) for name, value in sets.items()}).drop("_before")

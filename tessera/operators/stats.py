@@ -71,3 +71,57 @@ def cluster_bootstrap(totals: DataFrame, cluster: str, numerator: str, denominat
     spread = ratios.agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count("*").alias("defined"))
     point = totals.agg(F.try_divide(F.sum(numerator), F.nullif(F.sum(denominator), F.lit(0))).alias("point"))
     return point.join(F.broadcast(spread)).select("point", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "defined")
+
+
+def reduction_intervals(pairs: DataFrame, cluster: str, metrics: dict[str, tuple[str, str, str, str]], reps: int = 2000, seed: int = 0) -> DataFrame:
+    """metric, point, low, high, clusters: 1 - (other / its count) / (base / its count) with a 95 % interval over whole clusters.
+
+    metrics: name to columns (base sum, base count, other sum, other count), summed here by cluster first. Clusters get Poisson(1)
+    weights from a hash, as in ``cluster_bootstrap``, the same for all metrics. An interval is null under two clusters or where
+    fewer than 90 % of the replicates have a value.
+    """
+    names = sorted({c for columns in metrics.values() for c in columns})
+    own = pairs.groupBy(cluster).agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in names])
+    drawn = own.select(*names, cluster, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "_rep", F.col(cluster)), F.lit(1 << 53)) / float(1 << 53)
+    weighed = drawn.select("_rep", *names, poisson_weight(u).alias("_w")).where("_w > 0")
+    sums = weighed.groupBy("_rep").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in names])
+
+    def reduction(a: str, n: str, b: str, m: str) -> Column:
+        before = F.try_divide(F.col(a), F.nullif(F.col(n), F.lit(0.0)))
+        return 1 - F.try_divide(F.try_divide(F.col(b), F.nullif(F.col(m), F.lit(0.0))), F.nullif(before, F.lit(0.0)))
+
+    told = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), reduction(*v).alias("r")) for k, v in metrics.items()])))
+    spread = told(sums).groupBy("metric").agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count("r").alias("defined"))
+    total = own.agg(*[F.sum(c).alias(c) for c in names], F.count("*").alias("clusters"))
+    points = total.select("clusters", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), reduction(*v).alias("point")) for k, v in metrics.items()])))
+    sure = (F.col("clusters") >= 2) & (F.col("defined") >= 0.9 * reps)
+    out = points.join(F.broadcast(spread), "metric", "left")  # a row a metric
+    return out.select("metric", "point", F.when(sure, F.col("p")[0]).alias("low"), F.when(sure, F.col("p")[1]).alias("high"), "clusters")
+
+
+def poisson_weight(u: Column) -> Column:
+    """The Poisson(1) quantile of a number from 0 to 1, up to ten, by its cumulative probabilities."""
+    import math
+
+    cuts = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+    return sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
+
+
+def quality_kept(base: dict[str, Column], other: dict[str, Column], tolerance: float = 0.1) -> Column:
+    """Whether the other run of a pair keeps the quality: null without grades of both, false unless both succeed.
+
+    Keys: success, blocker (boolean), correctness, safety, weighted.
+    """
+    grades = ("correctness", "safety", "weighted")
+    graded = lambda run: run["correctness"].isNotNull() & run["safety"].isNotNull() & run["weighted"].isNotNull()
+    level = lambda run: F.coalesce(run["blocker"], F.lit(False)).cast("int")
+    kept = base["success"] & other["success"] & (level(other) <= level(base))
+    for g in grades:
+        kept = kept & (other[g] >= base[g] - tolerance)
+    return F.when(graded(base) & graded(other), kept)
+
+
+def failed_gates(gates: dict[str, Column]) -> Column:
+    """The names of the gates that do not hold, in their order; a gate without a value does not hold."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(holds, F.lit(False)), name) for name, holds in gates.items()]))
