@@ -99,3 +99,26 @@ def confidence_gate(ranked: DataFrame, query: str = "query_id", item: str = "ite
     folded = ranked.groupBy(query).agg(marks.alias("m")).select(query, F.arrays_zip("m", F.aggregate("m", start, step)["out"].alias("out")).alias("z"))
     flat = folded.select(query, F.explode("z").alias("z"))
     return flat.select(query, F.col("z.m.item").alias(item), F.col("z.out").alias("score"), (F.col("z.out") < F.col("z.m.score")).alias("gated"))
+
+
+# How a function that serves as a container begins.
+FUNCTIONS = ("function ", "export function ", "async function ")
+
+
+def parent_credit(matches: DataFrame, containers: DataFrame) -> DataFrame:
+    """path, name, start, end, score: matches, and containers with at least the score of the best member that they hold.
+
+    matches: path, name, parent, start, end, score; containers: path, name, start, end, signature. A member names its parent and
+    lies within its lines; a function holds members that lie elsewhere too. A container without a match of its own enters by a
+    member's score above 0. Members are joined by path and parent, and reduced to a score a container before they meet the matches.
+    """
+    key = ["path", "name", "start", "end"]
+    held = containers.select(*key, "signature").distinct()
+    members = matches.where("parent <> '' and score > 0").select("path", F.col("parent").alias("name"), F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("score").alias("_s"))
+    inside = (F.col("start") <= F.col("_a")) & (F.col("_b") <= F.col("end"))
+    begins = F.ltrim(F.coalesce("signature", F.lit("")))
+    function = F.lit(False)
+    for word in FUNCTIONS:
+        function = function | begins.startswith(word)
+    credit = members.join(held, ["path", "name"]).where(inside | function).groupBy(*key).agg(F.max("_s").alias("score"))
+    return matches.select(*key, "score").unionByName(credit).groupBy(*key).agg(F.max("score").alias("score"))

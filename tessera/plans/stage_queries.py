@@ -159,3 +159,23 @@ def _(spark, d):
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("path"))
     seeds = files.join(nation, F.col("path") % 25 == F.col("query_id")).withColumn("rank", rank).where("rank <= 12")
     return promotion.peer_boosts(files, seeds, files.join(nation, F.col("path") == F.col("query_id") + 1).select("query_id", "terms"))
+
+
+@query(
+    "r19_parent_credit",
+    """WITH c AS (SELECT o_custkey AS path, 'o' || o_orderkey AS name, o_orderkey AS a, o_orderkey + 3 AS b, CASE o_orderkey % 3 WHEN 0 THEN ' export function f' WHEN 1 THEN 'class c' END AS sig FROM orders),
+ m AS (SELECT o_custkey AS path, 'l' || l_orderkey || '.' || l_linenumber AS name, 'o' || l_orderkey AS parent, l_orderkey + l_linenumber % 4 AS a, l_orderkey + l_linenumber AS b, l_quantity AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ UNION ALL SELECT path, name, '', a, b, 20 FROM c WHERE a % 5 = 0),
+ e AS (SELECT c.path, c.name, c.a, c.b, m.score FROM m JOIN c ON m.path = c.path AND m.parent = c.name WHERE m.score > 0 AND (c.a <= m.a AND m.b <= c.b OR c.sig = ' export function f'))
+ SELECT path, name, a AS start, b AS "end", max(CAST(score AS DOUBLE)) AS score FROM (SELECT path, name, a, b, score FROM m UNION ALL SELECT * FROM e) GROUP BY 1, 2, 3, 4""",
+)
+def _(spark, d):
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    place = [F.col("o_custkey").alias("path"), F.concat(F.lit("o"), k).alias("name"), k.alias("start"), (k + 3).alias("end")]
+    containers = orders.select(*place, F.when(k % 3 == 0, " export function f").when(k % 3 == 1, "class c").alias("signature"))
+    line = F.col("l_linenumber")
+    own = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(orders, F.col("l_orderkey") == k)
+    members = own.select(F.col("o_custkey").alias("path"), F.concat(F.lit("l"), k, F.lit("."), line).alias("name"), F.concat(F.lit("o"), k).alias("parent"), (k + line % 4).alias("start"), (k + line).alias("end"), F.col("l_quantity").cast("double").alias("score"))
+    named = orders.where(k % 5 == 0).select(*place, F.lit("").alias("parent"), F.lit(20.0).alias("score"))
+    return promotion.parent_credit(members.unionByName(named), containers)
