@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.payloads import redact_command
-from tessera.functions.text import let
+from tessera.functions.text import let, terms
 
 # Words before a command, and commands whose first argument belongs to their family.
 WRAPPERS = ("sudo", "env", "command", "time")
@@ -60,3 +60,25 @@ def minimum_capability(task: Column, tier: Column, risk_level: Column, conservat
         F.when(F.lit(conservative) & (risk_level == "high"), F.when(hard, 3).otherwise(2)).otherwise(1),
     )
     return F.get(F.array(*[F.lit(c) for c in CAPABILITIES]), needs - 1)
+
+
+def query_views(query: Column, most: int = 3, clause_terms: int = 5, long_terms: int = 18) -> Column:
+    """The query with single spaces, then its best clauses: five distinct terms and 24 characters or more, most terms first, then
+    the longest, then the first. A long query without one has its first and last 60 % of words. At most ``most`` views, told apart
+    without case; none for an empty query."""
+    plain = lambda t: F.btrim(F.regexp_replace(t, r"(?U)\s+", " "))
+    new = lambda seen, v: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(v)), seen).otherwise(F.concat(seen, F.array(v)))
+
+    def views(whole: Column) -> Column:
+        marked = F.transform(F.split(query, r"\n+|(?<=[.!?;])(?U:\s+)"), lambda x, i: F.struct((-F.size(F.array_distinct(terms(plain(x))))).alias("n"), (-F.length(plain(x))).alias("size"), i.alias("i"), plain(x).alias("view")))
+        clauses = F.array_sort(F.filter(marked, lambda c: (c["n"] <= -clause_terms) & (c["size"] <= -24)))
+        with_clauses = F.aggregate(clauses, F.array(whole), lambda seen, c: new(seen, c["view"]))
+        words = F.split(whole, " ")
+        width = F.greatest(F.lit(12), F.ceil(F.size(words) * 0.6)).cast("int")
+        ends = F.array(F.array_join(F.slice(words, F.lit(1), width), " "), F.array_join(F.slice(words, -width, width), " "))
+        windows = F.when((F.size(terms(whole)) >= long_terms) & (width < F.size(words)), F.aggregate(ends, F.array(whole), new)).otherwise(F.array(whole))
+        several = let(with_clauses, lambda v: F.when(F.size(v) > 1, v).otherwise(windows))
+        found = F.when(F.size(F.array_distinct(terms(whole))) < clause_terms, F.array(whole)).otherwise(several)
+        return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.slice(found, 1, most))
+
+    return let(plain(F.coalesce(query, F.lit(""))), views)

@@ -179,3 +179,11 @@ def _(spark, d):
     members = own.select(F.col("o_custkey").alias("path"), F.concat(F.lit("l"), k, F.lit("."), line).alias("name"), F.concat(F.lit("o"), k).alias("parent"), (k + line % 4).alias("start"), (k + line).alias("end"), F.col("l_quantity").cast("double").alias("score"))
     named = orders.where(k % 5 == 0).select(*place, F.lit("").alias("parent"), F.lit(20.0).alias("score"))
     return promotion.parent_credit(members.unionByName(named), containers)
+
+
+@query("r11_query_views")
+def _(spark, d):
+    """Every benchmark item as a query."""
+    from tessera.functions.prompts import query_views
+
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(query_views(F.col("text"))).alias("place", "view"))

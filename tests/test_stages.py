@@ -103,3 +103,23 @@ def test_data_shows_every_case(sf):
     assert min(gated[True], gated[False]) > 50
     assert len(con.sql(f"select distinct kept from ({ORACLE['x8_quality_kept']})").fetchall()) == 3
     assert len(con.sql(f"select distinct anomaly from ({ORACLE['a8_json_anomaly']})").fetchall()) == 2
+
+
+def test_query_views(spark, sf):
+    """Known cases, and for each item that its views are the item and whole clauses or windows of it."""
+    from tessera.functions.prompts import query_views
+    from tessera.plans.catalogue import QUERIES
+
+    a, b, c = "parser keeps nested bracket tokens.", "Renderer drops trailing newline marks always;", "lexer splits wide unicode symbols quickly"
+    long = " ".join(f"word{i}" for i in range(30))
+    cases = [("", []), (None, []), ("  short\nquery ", ["short query"]), (f"{a}  {b}\n{c}", None), (long, [long, long.split(" word18")[0], long[long.index("word12"):]]), (f"{a} {a.upper()}", None)]
+    df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(cases)], "i int, q string")
+    got = {r.i: r.v for r in df.select("i", query_views(F.col("q")).alias("v")).collect()}
+    for i, (_, want) in enumerate(cases):
+        if want is not None:
+            assert got[i] == want, i
+    assert got[3][0] == f"{a} {b} {c}" and len(got[3]) == 3 and set(got[3][1:]) <= {a, b, c} and b in got[3]
+    assert len(got[5]) == 2 and got[5][1].lower() == a
+    views, items = QUERIES["r11_query_views"](spark, sf).collect(), {r.item_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert all(r.view == items[r.item_id] if r.place == 0 else r.view in items[r.item_id] and len(r.view) >= 24 and r.place < 3 for r in views)
+    assert {r.item_id for r in views} == set(items)
