@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 # File names and terms of the two roles, and terms that say nothing of a file's family.
 DESCRIPTORS = ("module-info.java", "package-info.java", "package.json", "pyproject.toml", "cargo.toml", "go.mod", "go.work", "pom.xml")
 ANALYZER_NAMES = ("analyzer", "analysis", "diagnostic", "lint", "linter", "checker", "inspection")
@@ -91,13 +93,17 @@ def confidence_gate(ranked: DataFrame, query: str = "query_id", item: str = "ite
         key = x["key"]
         topical = key.bitwiseAND(F.lit(16 + 4 + 2)) == 0
         lowest = F.array_min(F.slice(a["least"], key + 1 + topical.cast("int"), F.lit(32)))
-        ceiling = F.greatest(x["base"], below(F.coalesce(lowest, F.lit(float("inf")))))
-        put = F.when((x["score"] > x["base"]) & (x["score"] > ceiling), ceiling).otherwise(x["score"])
-        least = F.transform(a["least"], lambda v, i: F.when(i == key, F.least(v, put)).otherwise(v))
-        return F.struct(least.alias("least"), F.concat(a["out"], F.array(put)).alias("out"))
+        ceiling = let(F.coalesce(lowest, F.lit(float("inf"))), lambda v: F.greatest(x["base"], below(v)))
+        raised = let(ceiling, lambda v: F.when((x["score"] > x["base"]) & (x["score"] > v), v).otherwise(x["score"]))
+
+        def after(put: Column) -> Column:
+            least = F.transform(a["least"], lambda v, i: F.when(i == key, F.least(v, put)).otherwise(v))
+            return F.struct(least.alias("least"), F.concat(a["out"], F.array(put)).alias("out"))
+
+        return let(raised, after)
 
     folded = ranked.groupBy(query).agg(marks.alias("m")).select(query, F.arrays_zip("m", F.aggregate("m", start, step)["out"].alias("out")).alias("z"))
-    flat = folded.select(query, F.explode("z").alias("z"))
+    flat = folded.select(query, F.explode_outer("z").alias("z"))  # no list is empty; outer, as the fold would run again in a filter
     return flat.select(query, F.col("z.m.item").alias(item), F.col("z.out").alias("score"), (F.col("z.out") < F.col("z.m.score")).alias("gated"))
 
 
