@@ -92,3 +92,9 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def crc32_sql(x: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8: bit by bit, each byte followed by seven zeros."""
+    steps = f"flatten(list_transform(range(cast(octet_length(encode({x})) as bigint)), lambda i: [cast('0x' || substr(hex(encode({x})), 2 * i + 1, 2) as bigint), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"4294967295 - list_reduce(list_concat([cast(4294967295 as bigint)], {steps}), lambda s, v: xor(xor(s, v) >> 1, 3988292384 * (xor(s, v) & 1)))"
