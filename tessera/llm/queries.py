@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op10_license, op11_merkle, op13_variants
+from tessera.llm import op10_license, op11_merkle, op12_prefix_bpe, op13_variants
 from tessera.llm.op1_hmm import op1_hmm
 from tessera.llm.op2_near_dedup import op2_near_dedup
 from tessera.llm.op3_pii import op3_pii
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_license": op10_license.op10_license,
     "op10_license_runs": op10_license.op10_license_runs,
     "op11_merkle": op11_merkle.op11_merkle,
+    "op12_prefix_bpe": op12_prefix_bpe.op12_prefix_bpe,
     "op13_variants": op13_variants.op13_variants,
 }
 ORACLE_SQL = {"op10_license": op10_license.oracle_sql(), "op11_merkle": op11_merkle.oracle_sql(), "op13_variants": op13_variants.oracle_sql()}
