@@ -26,7 +26,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
         asked = [(r["query_id"], r["q"]) for r in own.select("query_id", "q").collect()]
         shared = vectors.sparkSession.sparkContext.broadcast(asked)  # BLOCK vectors at most
-        met = vectors.select("vec_id", "embedding").mapInArrow(_scores(shared), f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double")
+        met = vectors.select("vec_id", "embedding").mapInArrow(_scores(shared, k), f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double")
         met = met.withColumn("score", F.round("score", 6))
         if min_score is not None:
             met = met.where(F.col("score") >= min_score)
@@ -37,12 +37,13 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float
     return out
 
 
-def _scores(shared):
-    """All scores of a block of vectors and the queries, as one matrix product for each length."""
+def _scores(shared, k: int):
+    """For each query the k best of a block of vectors with all that tie with the last, by one matrix product for each length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = lambda m: m / np.where(n := np.linalg.norm(m, axis=1, keepdims=True), n, 1)
         ids = [i for i, _ in shared.value]
+        asked = pa.array(ids)
         sizes = np.array([len(q or ()) for _, q in shared.value])
         by_size = {s: unit(np.array([q for _, q in shared.value if len(q or ()) == s], np.float64)) for s in set(sizes.tolist()) if s}
         for whole in batches:
@@ -56,7 +57,9 @@ def _scores(shared):
                     if len(rows):
                         m = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, s)
                         found[np.ix_(rows, np.flatnonzero(sizes == s))] = unit(m) @ q.T
-                vec = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), len(ids))))
-                yield pa.RecordBatch.from_arrays([pa.array(ids * b.num_rows), vec, pa.array(np.nan_to_num(found).ravel())], names=["query_id", "vec_id", "score"])
+                found = np.round(np.nan_to_num(found), 6)
+                least = np.partition(found, -k, axis=0)[-k] if k < len(found) else np.full(len(ids), -np.inf)
+                row, at = np.nonzero(found >= least)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(at)), b.column(0).take(pa.array(row)), pa.array(found[row, at])], names=["query_id", "vec_id", "score"])
 
     return run
