@@ -16,6 +16,9 @@ _BM25 = f"""WITH {_COUNTS}, len AS (SELECT doc_id, sum(tf) AS len FROM counts GR
  SELECT query_id, c.doc_id, round(sum(ln(1.0 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)))), 6) AS score, CAST(sum(tf) AS BIGINT) AS matched
  FROM counts c JOIN q ON c.term = q.term JOIN df ON df.term = c.term JOIN len ON len.doc_id = c.doc_id CROSS JOIN tot GROUP BY 1, 2"""
 
+#: The scores of all benchmark items and documents, as ``scored``.
+BM25_ALL = "WITH scored AS (" + _BM25.replace(" WHERE item_id < 5", "") + ")"
+
 
 def _counts(spark, d):
     from tessera.operators.ranking import document_counts

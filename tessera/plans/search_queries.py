@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.plans.ranking_queries import BM25_ALL
 from tessera.plans.registry import query, table
 
 
@@ -27,3 +28,22 @@ def _(spark, d):
 
     vectors, asked = _vectors(spark, d)
     return ann.recall(ann.search(ann.build(vectors), asked, 10), exact_top_k(asked, vectors, 10).withColumnRenamed("vec_id", "id"))
+
+
+def _full_text(spark, d):
+    """The index over documents, and the benchmark items' terms as queries."""
+    from tessera.operators import fulltext
+    from tessera.plans.ranking_queries import _asked, _counts
+
+    return fulltext.build(_counts(spark, d)), _asked(spark, d)
+
+
+_TOP = BM25_ALL + " SELECT query_id, doc_id, score, matched, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM scored) WHERE rank <= {k}"
+
+
+@query("j7_ranked_search", _TOP.format(k=12))
+def _(spark, d):
+    from tessera.operators import fulltext
+
+    index, asked = _full_text(spark, d)
+    return fulltext.search(index, asked, 12).withColumnRenamed("doc", "doc_id")
