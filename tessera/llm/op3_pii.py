@@ -2,14 +2,17 @@
 
 Generators propose spans of four kinds with high recall: what the base patterns match, valid or not, and looser forms
 (spelled-out e-mail addresses, IPv6, telephone numbers without a plus). Candidates that the base rules accept are always
-kept; loose candidates that overlap one of those are no candidates of their own. The others are judged by boosted trees
-over the candidate's format (digits, separators, length, variety of digits, whether it fits its form's rules) and context
-(neighbouring characters, hint words before it), trees of its own for each kind and form. They learn from distant labels:
-the base rules for the base forms, and for the looser forms, which no base rule can accept, rules of their own (``_fits``).
-All candidates of the corpus are grouped by their features, a table of bounded size (the product of the small feature
-ranges), and fitted on the driver; the trees are applied as one SQL expression. Each kind and form has its threshold,
-calibrated as the lowest score at which the precision among all its candidates stays at ``precision``; one without such a
-score adds nothing.
+kept, those of a base form that they reject never; loose candidates that overlap a kept one, or whose format no value of
+their kind can have, go. The others are judged by boosted trees.
+
+The trees learn from base forms alone, whose label is evidence that no feature holds: the checksum of a card number, the
+ranges of an address's parts, the number of a telephone number's digits. The features are what base and loose forms have in
+common: the kind, the neighbouring characters, hint words in front of the same kind or of something else, and how varied
+the digits are. So what is learned is which contexts hold real values, and it carries over to the loose forms, which are
+never labelled. All base candidates are grouped by their features, a table of bounded size (the product of the small
+feature ranges). Trees are fitted on the candidates of one half of the documents, and each kind's threshold is calibrated
+on the other half: the lowest score at which precision stays at ``precision``; a kind without such a score adds nothing.
+The trees are applied as one SQL expression.
 
 Edge cases: null and empty texts have no spans; empty tables, repeated rows and null ids are passed through row by row;
 spans that end together with the text, or fill it, are found; offsets count code points; further columns are ignored by
@@ -45,7 +48,7 @@ LOOSE = {
 #: Words before a candidate that hint at a kind, or at something else (the last group).
 HINTS = (r"(?i)mail", r"(?i)\bip\b|host|server|addr", r"(?i)card|visa|credit|pay", r"(?i)tel|phone|call|fax|mobil", r"(?i)token|key|order|isbn|serial|version|\bid\b|#|=")
 CONTEXT = 24
-FEATURES = ("kind", "form", "digits", "marks", "length", "variety", "before", "after", "hint", "fits")
+FEATURES = ("kind", "variety", "before", "after", "hint")
 
 
 def _found(text: Column, pattern: str, kind: int, base: bool) -> Column:
@@ -102,12 +105,14 @@ def _side(ch: Column) -> Column:
 
 
 def _described(text: Column, c: Column) -> Column:
-    """A candidate with its end, its validity under the base rules and its features, all small integers."""
+    """A candidate with its end, its validity under the base rules, whether a loose one has the format of its kind (and, for
+    digits alone, no hint at something else), and its features, all small integers."""
     m, start = c["m"], c["start"]
     digits = F.regexp_replace(m, "[^0-9]", "")
     around = F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT)))
     hint = reduce(lambda w, ih: w.when(around.rlike(ih[1]), ih[0] + 1), enumerate(HINTS[1:], 1), F.when(around.rlike(HINTS[0]), 1)).otherwise(0)
-    variety = F.size(F.array_distinct(F.split(digits, "")))
+    # digits of an e-mail address say nothing, and those of an IPv6 address something else than those of an IPv4 address
+    variety = F.when(c["kind"] >= 2, F.least(F.floor(F.size(F.array_distinct(F.split(digits, ""))) / 2), F.lit(5)).cast("int")).otherwise(0)
     before = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")
     return F.struct(
         c["kind"].alias("kind"),
@@ -115,23 +120,15 @@ def _described(text: Column, c: Column) -> Column:
         start.alias("start"),
         (start + F.length(m)).alias("end"),
         _valid(c).alias("valid"),
-        F.least(F.length(digits), F.lit(24)).alias("digits"),
-        F.least(F.length(F.regexp_replace(m, r"[A-Za-z0-9]", "")), F.lit(8)).alias("marks"),
-        F.least(F.floor(F.length(m) / 4), F.lit(12)).cast("int").alias("length"),
-        F.least(F.floor(variety / 2), F.lit(5)).cast("int").alias("variety"),
+        variety.alias("variety"),
         _side(before).alias("before"),
         _side(F.substring(text, start + F.length(m) + 1, F.lit(1))).alias("after"),
-        hint.alias("hint"),
-        _fits(c).cast("int").alias("fits"),
+        # a hint at the own kind, at none, at another one, at something else
+        F.when(hint == c["kind"] + 1, 0).when(hint == 0, 1).when(hint < len(HINTS), 2).otherwise(3).alias("hint"),
+        (_fits(c) & ((c["kind"] != 3) | (hint < len(HINTS)))).alias("fits"),
     )
 
 
-def _label(c: Column) -> Column:
-    """What training and calibration count as right: the base rules or, for loose forms, the format and, for digits alone, no
-    hint at something else."""
-    return F.when(c["form"] == 0, c["valid"]).otherwise((c["fits"] == 1) & ((c["kind"] != 3) | (c["hint"] < len(HINTS))))
-
-
 def _overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -226,39 +223,45 @@ class BoostedTrees:
         return reduce(lambda a, t: a + F.when(below(t[0]), of(t[1])).otherwise(of(t[2])), self.trees, F.lit(self.first))
 
 
-def fit(found: DataFrame, precision: float = 0.98) -> tuple[dict[tuple[int, int], BoostedTrees], dict[tuple[int, int], float]]:
-    """Trees and a threshold for each kind and form, from all candidates of ``found``."""
+def fit(found: DataFrame, precision: float = 0.98) -> tuple[BoostedTrees | None, dict[int, float]]:
+    """Trees from the base candidates of one half of the documents, and a threshold for each kind from those of the other half."""
     import numpy as np
 
-    rows = found.select(F.explode("candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum(_label(F.col("c")).cast("int")).alias("good")).collect()
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")
+    base = found.select(half, F.explode("candidates").alias("c")).where("c.form = 0")
+    rows = base.groupBy("half", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum(F.col("c.valid").cast("int")).alias("good")).collect()
     rows.sort()
-    models, limits = {}, {}
-    for form in sorted({(r["kind"], r["form"]) for r in rows}):
-        own = [r for r in rows if (r["kind"], r["form"]) == form]
-        x = np.array([[r[f] for f in FEATURES] for r in own])
-        w = np.array([r["n"] for r in own], float)
-        good = np.array([r["good"] for r in own], float)
-        model = BoostedTrees().fit(x, good / w, w)
+    of = lambda own: (np.array([[r[f] for f in FEATURES] for r in own]), np.array([r["n"] for r in own], float), np.array([r["good"] for r in own], float))
+    learned = [r for r in rows if r["half"] == 0]
+    if not learned:
+        return None, {}
+    x, w, good = of(learned)
+    model, limits = BoostedTrees().fit(x, good / w, w), {}
+    for kind in range(len(KINDS)):
+        own = [r for r in rows if r["half"] == 1 and r["kind"] == kind]
+        if not own:
+            continue
+        x, w, good = of(own)
         z = model.margins(x)
         order = np.argsort(-z, kind="stable")
         z, w, good = z[order], w[order], good[order]
         ends = np.append(np.flatnonzero(z[:-1] - z[1:] > 1e-9), len(z) - 1)  # rows of one score stand or fall together
         sure = ends[np.cumsum(good)[ends] >= precision * np.cumsum(w)[ends]]
         if len(sure) and good.sum():
-            models[form], limits[form] = model, float(z[sure[-1]] - 1e-9)
-    return models, limits
+            limits[kind] = float(z[sure[-1]] - 1e-9)
+    return model, limits
 
 
-def spans(found: DataFrame, models: dict[tuple[int, int], BoostedTrees] | None, limits: dict[tuple[int, int], float]) -> DataFrame:
+def spans(found: DataFrame, model: BoostedTrees | None, limits: dict[int, float]) -> DataFrame:
     """doc_id, ``base`` and ``all``: arrays of (start, kind, end), by start and then kind."""
     row = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("candidates", lambda c: c["valid"]), row))
-    if not models or not limits:
+    if model is None or not limits:
         return found.select("doc_id", base.alias("base"), base.alias("all"))
 
     def sure(c: Column) -> Column:
-        at_least = reduce(lambda w, kv: w | (c["kind"] == kv[0][0]) & (c["form"] == kv[0][1]) & (models[kv[0]].expression(c) >= kv[1]), limits.items(), F.lit(False))
-        return ~c["valid"] & at_least
+        least = reduce(lambda w, kv: w.when(c["kind"] == kv[0], kv[1]), limits.items(), F.when(F.lit(False), 0.0))
+        return (c["form"] == 1) & c["fits"] & F.coalesce(model.expression(c) >= least, F.lit(False))
 
     more = F.transform(F.filter("candidates", sure), row)
     out = found.select("doc_id", base.alias("base"), F.array_sort(more).alias("more"))

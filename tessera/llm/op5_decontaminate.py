@@ -3,7 +3,7 @@
 Texts and items are lower-cased and reduced to letters and digits with single spaces. An item of n characters may differ by
 k = n // ``per_error`` edits. It is split into k + 1 pieces: whatever k edits do, one piece stays whole, so an Aho-Corasick
 automaton over all pieces finds every place to look at, and Myers' bit-parallel edit distance over the window around each
-hit decides. Items of under ``shortest`` characters allow no edits and must match as whole words.
+hit decides. Items of fewer than ``per_error`` characters allow no edits and must match as whole words.
 
 The items are read in blocks of at most ``block_chars`` characters, each block one pass with its automaton broadcast, so what
 is broadcast is bounded whatever the benchmark's size.
@@ -64,17 +64,17 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """Items by id, with the automaton over their pieces."""
 
-    def __init__(self, items: list[tuple[int | None, str]], per_error: int, shortest: int):
+    def __init__(self, items: list[tuple[int | None, str]], per_error: int):
         self.items: list[tuple[int | None, str, int]] = []
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             norm = normalise(text)
             if not norm:
                 continue
-            k = 0 if len(norm) < shortest else len(norm) // per_error
+            k = len(norm) // per_error
             n = len(self.items)
             self.items.append((item_id, norm, k))
-            if len(norm) < shortest:
+            if not k:
                 pieces[f" {norm} "].append((n, -1))
                 continue
             cuts = [len(norm) * i // (k + 1) for i in range(k + 2)]
@@ -121,11 +121,11 @@ class Matcher:
 
 
 @lru_cache(2)
-def _matcher(items: tuple, per_error: int, shortest: int) -> Matcher:
-    return Matcher(list(items), per_error, shortest)
+def _matcher(items: tuple, per_error: int) -> Matcher:
+    return Matcher(list(items), per_error)
 
 
-def _matchers(benchmark: DataFrame, per_error: int, shortest: int, block_chars: int) -> Iterator[Callable[[], Matcher]]:
+def _matchers(benchmark: DataFrame, per_error: int, block_chars: int) -> Iterator[Callable[[], Matcher]]:
     """The benchmark's items (item_id, text) in blocks, each broadcast: what gives a task its matcher."""
     sized = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -134,13 +134,13 @@ def _matchers(benchmark: DataFrame, per_error: int, shortest: int, block_chars:
         own = sized.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i) if blocks > 1 else sized
         items = tuple(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x)))
         shared = benchmark.sparkSession.sparkContext.broadcast(items)
-        yield lambda shared=shared: _matcher(shared.value, per_error, shortest)
+        yield lambda shared=shared: _matcher(shared.value, per_error)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = 12, shortest: int = 24, block_chars: int = 16_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = 12, block_chars: int = 16_000_000) -> DataFrame:
     """doc_id, item_id, distance, start_at, end_at for each document of docs (doc_id, text) and item within its error budget."""
     found = None
-    for matcher in _matchers(benchmark, per_error, shortest, block_chars):
+    for matcher in _matchers(benchmark, per_error, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             find = matcher().find
@@ -153,9 +153,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = 12, sho
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, per_error: int = 12, shortest: int = 24, block_chars: int = 16_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, per_error: int = 12, block_chars: int = 16_000_000) -> DataFrame:
     """The rows of docs, all columns kept, whose ``text`` holds no item within its error budget. Each row is judged where it is: nothing is shuffled or joined."""
-    for matcher in _matchers(benchmark, per_error, shortest, block_chars):
+    for matcher in _matchers(benchmark, per_error, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             find = matcher().find

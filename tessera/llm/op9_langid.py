@@ -132,16 +132,17 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, batch
     return net
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_lang: int = 800, windows: int = 3, max_langs: int = 250) -> ByteCnn | None:
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_lang: int = 800, windows: int = 3, rows: int = 200_000) -> ByteCnn | None:
     """A network from at most about ``per_lang`` labelled texts a language, picked by a hash of the text among rows where ``learn`` holds.
 
-    The sample holds each text once and is bounded by these parameters; the ``max_langs`` languages of most rows are learned.
+    The sample holds each text once and about ``rows`` texts at most: with many languages each has fewer, and all are learned.
     """
     own = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
+    sizes = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
+    per_lang = min(per_lang, max(1, rows // len(langs)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])
     picked = own.where((F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("l")]).distinct()
 
@@ -156,12 +157,13 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
                     label += [lab] * len(at)
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(label, pa.string())], names=["x", "l"])
 
-    rows = picked.mapInArrow(cut, "x binary, l string").collect()
-    if not rows:
+    seen = picked.mapInArrow(cut, "x binary, l string").collect()
+    if not seen:
         return None
-    rows.sort(key=lambda r: (r["l"], bytes(r["x"])))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.uint8).reshape(-1, WINDOW)
-    return train(x, np.array([langs.index(r["l"]) for r in rows]), langs)
+    seen.sort(key=lambda r: (r["l"], bytes(r["x"])))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in seen), np.uint8).reshape(-1, WINDOW)
+    place = {k: i for i, k in enumerate(langs)}
+    return train(x, np.array([place[r["l"]] for r in seen]), langs)
 
 
 def predict(df: DataFrame, net: ByteCnn | None, text: str = "text") -> DataFrame:

@@ -194,7 +194,7 @@ def test_op5_myers_and_planted_errors(spark, sf, docs):
         a, b = ("".join(rng.choice(list("abc"), n)) for n in (rng.integers(1, 90), rng.integers(0, 120)))
         assert op5_decontaminate.myers(a, b)[0] == edits(a, b)
     item = "the quick brown fox jumps over the lazy dog and then runs away from the farm at night"
-    matcher = op5_decontaminate.Matcher([(1, item), (2, "short one"), (3, None), (4, "")], 12, 24)
+    matcher = op5_decontaminate.Matcher([(1, item), (2, "short one"), (3, None), (4, "")], 12)
     budget = len(item) // 12
     for k in range(budget + 3):
         at = rng.choice(len(item), k, replace=False) if k else []
