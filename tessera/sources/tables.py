@@ -5,17 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
-def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written as a table in the folder that ``spark.checkpoint.dir`` names, and read back.
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
 
     Only under a local master without that setting, as in tests, a temporary folder stands in.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -23,9 +22,14 @@ def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> D
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tessera_tables_"))
         base = _LOCAL[0]
-    path = f"{base.rstrip('/')}/tables_{uuid.uuid4().hex}_{tag}"
+    return f"{base.rstrip('/')}/tables_{uuid.uuid4().hex}_{tag}"
+
+
+def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` written as a table at a new path, and read back."""
+    path = new_path(df.sparkSession, tag)
     df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
