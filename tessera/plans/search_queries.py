@@ -47,3 +47,22 @@ def _(spark, d):
 
     index, asked = _full_text(spark, d)
     return fulltext.search(index, asked, 12).withColumnRenamed("doc", "doc_id")
+
+
+def typed_terms(spark, d):
+    """query_id, term: the benchmark items' terms, those of five letters or more without their middle one, as typing errors."""
+    from tessera.plans.ranking_queries import _asked
+
+    t, n = F.col("term"), F.length("term")
+    cut = F.concat(F.substring(t, F.lit(1), F.floor(n / 2).cast("int")), F.substring(t, F.floor(n / 2).cast("int") + 2, n))
+    return _asked(spark, d).select("query_id", F.when(n >= 5, cut).otherwise(t).alias("term"))
+
+
+@query("r0_expanded_terms")  # matching blocks are no SQL: tested against a brute force over the whole vocabulary
+def _(spark, d):
+    from tessera.functions.text import exploded_terms
+    from tessera.operators import typos
+
+    asked = typed_terms(spark, d)
+    vocabulary = exploded_terms(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], {"text": (F.col("text"), 1)}).select("term")
+    return typos.expanded(asked, typos.corrections(vocabulary, asked))

@@ -1,9 +1,13 @@
 """Kept indexes: approximate vectors, ranked full text, typing errors."""
 
+import difflib
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import ann
+from tessera.operators import ann, typos
 from tessera.operators.vectors import exact_top_k
 from tessera.plans.catalogue import QUERIES
 
@@ -40,3 +44,53 @@ def test_exact_keeps_all_that_tie(spark, k):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = exact_top_k(spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, q array<double>"), vectors, k).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [i for i in range(60) if i % 3 == 1][:k]
+
+
+def brute_corrections(vocabulary, asked, min_ratio, margin):
+    known = {v.lower() for v in vocabulary if v and len(v) >= 4}
+    by = {}
+    for v in known:
+        by.setdefault(v[0], []).append(v)
+    out = {}
+    for q in {a.lower() for a in asked if a}:
+        if len(q) < 4 or q in known:
+            continue
+        ranked = []
+        for v in by.get(q[0], []):
+            if abs(len(q) - len(v)) <= 2:
+                r = difflib.SequenceMatcher(None, q, v).ratio()
+                if r >= (min_ratio if max(len(q), len(v)) >= 7 else max(min_ratio, 0.86)):
+                    ranked.append((-r, v))
+        ranked.sort()
+        if ranked and (-ranked[0][0] >= 0.94 or -ranked[0][0] - (-ranked[1][0] if len(ranked) > 1 else 0) >= margin):
+            out[q] = (ranked[0][1], -ranked[0][0])
+    return out
+
+
+@pytest.mark.parametrize("min_ratio, margin", [(0.88, 0.08), (0.82, 0.06)])
+def test_corrections_are_those_of_all_pairs(spark, min_ratio, margin):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.choice([3, 4, 5, 7, 9, 12, 18, 30, 45]))) for _ in range(1500)] + ["Straße", "naïve", None]
+    asked = [None, "abc", "abcd", "STRASSE", "naive"]
+    for w in words[:700]:
+        w = list(w)
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "b", "ce"])
+            w = w or ["a"]
+        asked.append("".join(w))
+    df = lambda rows: spark.createDataFrame([(r, 1) for r in rows], "term string, other int")
+    got = {r["term"]: (r["corrected"], r["ratio"]) for r in typos.corrections(df(words), df(asked), min_ratio, margin).collect()}
+    assert got == brute_corrections(words, asked, min_ratio, margin) and len(got) > 50
+    assert typos.corrections(df([]), df(asked)).count() == 0 and typos.corrections(df(words), df([])).count() == 0
+
+
+def test_expansion_over_the_documents(spark, sf):
+    from tessera.functions.text import terms
+    from tessera.plans.search_queries import typed_terms
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.array_distinct(terms(F.col("text")))).alias("t")).distinct().collect()
+    asked = [(r["query_id"], r["term"]) for r in typed_terms(spark, sf).collect()]
+    found = brute_corrections([r["t"] for r in docs], [t for _, t in asked], 0.88, 0.08)
+    want = {(q, t, False) for q, t in asked} | {(q, found[t.lower()][0], True) for q, t in asked if t.lower() in found and (q, found[t.lower()][0]) not in set(asked)}
+    assert {tuple(r) for r in QUERIES["r0_expanded_terms"](spark, sf).collect()} == want and any(a for *_, a in want)
