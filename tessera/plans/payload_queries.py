@@ -20,3 +20,44 @@ def _(spark, d):
 
     own = table(spark, d, "pages")
     return pages.focused(pages.visible_lines(own), own.select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("query")), 30)
+
+
+def edited(spark, d):
+    """patch_id, text, n: for each document a diff that replaces the lines whose length leaves 3 when divided by 7, and a line more of context."""
+    from tessera.functions.text import lines
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("patch_id"), lines(F.coalesce("text", F.lit(""))).alias("l"))
+    at = F.transform("l", lambda x, i: F.struct((i + 1).cast("string").alias("i"), x.alias("x")))
+    hunks = F.transform(F.filter(at, lambda s: F.length(s["x"]) % 7 == 3), lambda s: F.concat(F.lit("@@ -"), s["i"], F.lit(" +"), s["i"], F.lit(" @@\n-"), s["x"], F.lit("\n+"), s["x"], F.lit(" edited\n")))
+    path = F.concat(F.lit("src/doc"), F.col("patch_id").cast("string"), F.lit(".py"))
+    head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"))
+    return docs.select("patch_id", path.alias("path"), F.size("l").alias("n"), F.when(F.size(hunks) > 0, F.concat(head, F.array_join(hunks, ""))).alias("text"))
+
+
+_LINES = "SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS l FROM documents))"
+
+
+@query("gr8_changed_lines", f"SELECT doc_id AS patch_id, 'src/doc' || doc_id || '.py' AS path, unnest(['-', '+']) AS kind, CAST(i AS BIGINT) AS at FROM ({_LINES}) WHERE length(line) % 7 = 3")
+def _(spark, d):
+    from tessera.operators import patches
+
+    found = patches.patch_lines(edited(spark, d))
+    return found.select("patch_id", "path", "kind", F.coalesce("old_line", "new_line").alias("at"))
+
+
+# every five lines of a document are a symbol
+@query("gr8_changed_symbols", f"SELECT DISTINCT doc_id AS patch_id, 's' || ((i - 1) // 5) AS name FROM ({_LINES}) WHERE length(line) % 7 = 3")
+def _(spark, d):
+    from tessera.operators import patches
+
+    own = edited(spark, d)
+    k = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.col("n"), F.lit(1)) - 1) / 5).cast("int"))).alias("k")
+    symbols = own.select("patch_id", "path", k).select("patch_id", "path", F.concat(F.lit("s"), F.col("k").cast("string")).alias("name"), (F.col("k") * 5 + 1).alias("start_line"), (F.col("k") * 5 + 5).alias("end_line"))
+    return patches.changed_symbols(patches.patch_lines(own), symbols, ["patch_id"]).select("patch_id", "name")
+
+
+@query("gr8_review", f"SELECT doc_id AS patch_id, CAST(1 AS BIGINT) AS files, count(*) AS added, count(*) AS removed, 'tests-not-changed' AS warnings FROM ({_LINES}) WHERE length(line) % 7 = 3 GROUP BY 1")
+def _(spark, d):
+    from tessera.operators import patches
+
+    return patches.review(patches.patch_lines(edited(spark, d))).select("patch_id", "files", "added", "removed", F.array_join("warnings", ",").alias("warnings"))

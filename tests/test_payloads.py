@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import pages
+from tessera.operators import pages, patches
 
 
 class Parser(HTMLParser):
@@ -121,3 +121,74 @@ def test_focus_is_that_of_each_page(spark, max_lines):
         got.setdefault(r["page_id"], []).append(r["idx"])
     assert got == {p: by_page(lines, q, max_lines) for p, (lines, q) in texts.items()}
     assert pages.focused(own.where("false"), own.select("page_id", F.lit("x").alias("query")).where("false"), max_lines).count() == 0
+
+
+PATCH = """diff --git a/src/a.py b/src/b.py
+similarity index 90%
+rename from src/a.py
+rename to src/b.py
+--- a/src/a.py
++++ b/src/b.py
+@@ -3,4 +3,5 @@ def f():
+ same
+-old
++++ b/looks/like/a/header
++new
+ same
+
+@@ -20 +21,0 @@
+-gone
+diff --git a/src/new.py b/src/new.py
+new file mode 100644
+--- /dev/null
++++ b/src/new.py
+@@ -0,0 +1,2 @@
++one
++two
+\\ No newline at end of file
+diff --git a/old.md b/old.md
+deleted file mode 100644
+--- a/old.md
++++ /dev/null
+@@ -1,2 +0,0 @@
+---- a
+-x
+"""
+
+
+def test_patch_lines(spark):
+    rows = [(1, PATCH), (2, None), (3, ""), (4, "no diff at all"), (5, "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n-a\n+b\n")]
+    got = patches.patch_lines(spark.createDataFrame(rows, "patch_id long, text string"))
+    own = sorted([tuple(r) for r in got.collect()], key=lambda r: (r[0], r[4], r[6] or r[7] or 0, r[5]))
+    assert [r for r in own if r[0] == 1] == [
+        (1, "src/b.py", "src/a.py", "R", 1, " ", 3, 3, "same"), (1, "src/b.py", "src/a.py", "R", 1, "+", None, 4, "++ b/looks/like/a/header"), (1, "src/b.py", "src/a.py", "R", 1, "-", 4, None, "old"),
+        (1, "src/b.py", "src/a.py", "R", 1, " ", 5, 6, "same"), (1, "src/b.py", "src/a.py", "R", 1, "+", None, 5, "new"), (1, "src/b.py", "src/a.py", "R", 1, " ", 6, 7, ""),
+        (1, "src/b.py", "src/a.py", "R", 2, "-", 20, None, "gone"),
+        (1, "src/new.py", None, "A", 3, "+", None, 1, "one"), (1, "src/new.py", None, "A", 3, "+", None, 2, "two"),
+        (1, "old.md", "old.md", "D", 4, "-", 1, None, "--- a"), (1, "old.md", "old.md", "D", 4, "-", 2, None, "x"),
+    ]
+    assert [r[:8] for r in own if r[0] != 1] == [(5, "x.py", "x.py", "M", 1, "+", None, 1), (5, "x.py", "x.py", "M", 1, "-", 1, None)]
+    ranges = sorted(tuple(r) for r in patches.changed_ranges(got).where("patch_id = 1").select("path", "side", "start_at", "end_at").collect())
+    assert ranges == [("old.md", "old", 1, 2), ("src/a.py", "old", 4, 4), ("src/a.py", "old", 20, 20), ("src/b.py", "new", 4, 5), ("src/new.py", "new", 1, 2)]
+    symbols = spark.createDataFrame([("src/b.py", "f", 1, 4), ("src/b.py", "g", 7, 9), ("src/b.py", "h", 5, 30), ("src/a.py", "was", 18, 22), ("old.md", "all", 1, 1)], "path string, name string, start_line long, end_line long")
+    assert sorted(tuple(r)[1:] for r in patches.changed_symbols(got, symbols, []).collect()) == [("old.md", "all"), ("src/b.py", "f"), ("src/b.py", "h")]
+    assert sorted(tuple(r)[1:] for r in patches.changed_symbols(got, symbols, [], side="old").collect()) == [("old.md", "all"), ("src/a.py", "was")]
+
+
+def test_signatures_and_review(spark):
+    old = spark.createDataFrame([(1, "a.py", "C", "f", "f(x)"), (1, "a.py", "", "g", "g()"), (1, "a.py", None, "h", None)], "patch_id long, path string, parent string, name string, signature string")
+    new = spark.createDataFrame([(1, "a.py", "C", "f", "f(x, y)"), (1, "a.py", None, "h", ""), (1, "a.py", "C", "k", "k()")], old.schema)
+    changes = patches.signature_changes(old, new, ["patch_id"])
+    assert sorted(tuple(r)[2:] for r in changes.collect()) == [("C.f", "changed"), ("C.k", "added"), ("g", "removed")]
+    told = patches.review(patches.patch_lines(spark.createDataFrame([(1, "--- a/src/a.py\n+++ b/src/a.py\n@@ -1 +1 @@\n-a\n+b\n"), (2, "--- a/tests/t.py\n+++ b/tests/t.py\n@@ -1 +1 @@\n-a\n+b\n")], "patch_id long, text string")), changes)
+    assert sorted((r["patch_id"], r["added"], r["removed"], r["api_changes"], r["warnings"]) for r in told.collect()) == [(1, 1, 1, 2, ["public-api-change", "tests-not-changed"]), (2, 1, 1, 0, [])]
+
+
+def test_context_is_counted(spark):
+    text = PATCH + "".join(f"@@ -{i},33 +{i},33 @@\n" + " some context\n" * 16 + "-c\n+d\n" + " more context\n" * 16 for i in range(100, 400, 50))
+    got = spark.createDataFrame([(text,), ("short",), (None,)], "t string").select(patches.without_context(F.col("t")).alias("t")).collect()
+    kept = [line for line in text.split("\n") if line.startswith(("+", "-", "@@", "diff", "new file", "deleted", "rename", "similarity", "\\"))]
+    own = got[0]["t"].rstrip("\n").split("\n")
+    assert [line for line in own if not line.startswith(" ... ")] == kept
+    assert sum(int(line.split()[1]) for line in own if line.startswith(" ... ")) == len(text.rstrip("\n").split("\n")) - len(kept)
+    assert got[1]["t"] == "short" and got[2]["t"] is None
