@@ -24,9 +24,8 @@ from tessera.sources.tables import written
 
 #: Terms are dealt into so many folders, so a search of few terms reads few of them.
 BUCKETS = 64
-#: Decimals that decide the order; bounds are compared with this slack.
+#: Decimals of a score.
 PLACES = 6
-SLACK = 1e-5
 
 
 @dataclass
@@ -51,8 +50,9 @@ def build(counts: DataFrame, key: str = "doc_id", shard_docs: int = 256) -> Full
     return FullText(blocks, written(df.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms"), n, avg)
 
 
-def _scored(index: FullText, asked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _scored(index: FullText, asked: DataFrame, pairs: DataFrame, k: int, places: int) -> DataFrame:
     """query_id, doc, score, matched: the k best of each pair (query_id, shard, least) that reach ``least``."""
+    slack = 10.0**-places
     wanted = pairs.join(asked, "query_id")
     met = wanted.join(index.blocks, ["bucket", "term", "shard"])
     groups = met.groupBy("query_id", "shard").agg(F.max("least").alias("least"), F.collect_list(F.struct("term", "idf", "posts")).alias("blocks"))
@@ -69,18 +69,18 @@ def _scored(index: FullText, asked: DataFrame, pairs: DataFrame, k: int) -> Data
                 at = codes.indices.to_numpy()
                 score = np.round(np.bincount(at, posts.field("part").to_numpy()), PLACES)
                 tf = np.bincount(at, posts.field("tf").to_numpy()).astype(np.int64)
-                keep = np.flatnonzero(score >= b.column(1)[i].as_py() - SLACK)
+                keep = np.flatnonzero(score >= b.column(1)[i].as_py() - slack)
                 if len(keep) > k:
-                    keep = keep[score[keep] >= np.partition(score[keep], -k)[-k]]  # with all that tie
+                    keep = keep[score[keep] >= np.partition(score[keep], -k)[-k] - slack]  # with all that may tie
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(keep), b.column(0).type), codes.dictionary.take(pa.array(keep)), pa.array(score[keep]), pa.array(tf[keep])], names=["query_id", "doc", "score", "matched"])
 
     return flat.mapInArrow(best, f"query_id {q_type}, doc {d_type}, score double, matched long")
 
 
-def search(index: FullText, queries: DataFrame, k: int, first: int = 4) -> DataFrame:
+def search(index: FullText, queries: DataFrame, k: int, first: int = 4, places: int = PLACES) -> DataFrame:
     """query_id, doc, score, matched, rank: the k best documents of each query (query_id, term) by BM25.
 
-    ``first`` shards of each query are scored to find its threshold.
+    ``first`` shards of each query are scored to find its threshold. Scores that agree to ``places`` decimals tie.
     """
     asked = queries.select("query_id", "term").distinct().join(index.terms, "term").select("query_id", "term", "idf", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
     asked = written(asked, "asked")
@@ -88,10 +88,10 @@ def search(index: FullText, queries: DataFrame, k: int, first: int = 4) -> DataF
     bounds = written(heads.groupBy("query_id", "shard").agg(F.sum(F.col("idf") * F.col("top")).alias("bound")), "bounds")
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard")
     start = written(bounds.withColumn("r", F.row_number().over(by_bound)).where(F.col("r") <= first), "start")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", places)), "doc")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
     found = written(ranked(_scored(index, asked, start.select("query_id", "shard", F.lit(0.0).alias("least")), k)), "found")
     least = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = bounds.join(start.select("query_id", "shard"), ["query_id", "shard"], "left_anti").join(least, "query_id", "left")
-    rest = rest.select("query_id", "shard", F.coalesce("least", F.lit(0.0)).alias("least"), "bound").where(F.col("bound") >= F.col("least") - SLACK)
-    return ranked(found.drop("rank").unionByName(_scored(index, asked, rest.drop("bound"), k)))
+    rest = rest.select("query_id", "shard", F.coalesce("least", F.lit(0.0)).alias("least"), "bound").where(F.col("bound") >= F.col("least") - 10.0**-places)
+    return ranked(found.drop("rank").unionByName(_scored(index, asked, rest.drop("bound"), k, places)))

@@ -61,3 +61,36 @@ def _(spark, d):
     from tessera.operators import patches
 
     return patches.review(patches.patch_lines(edited(spark, d))).select("patch_id", "files", "added", "removed", F.array_join("warnings", ",").alias("warnings"))
+
+
+def event_logs(spark, d):
+    """user_id, day, text: each user's events of a day as one JSON object with an array of them."""
+    e = table(spark, d, "events")
+    item = F.struct("event_id", F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.col("event_type").alias("type"), F.array(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"))).alias("more"))
+    logs = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(item)).alias("events"))
+    return logs.select("user_id", "day", F.to_json(F.struct("user_id", F.struct("events").alias("log"))).alias("text"))
+
+
+# what stays of each array: its first five and last four, and what failed
+@query(
+    "p12_bounded_json",
+    """WITH o AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id)),
+ k AS (SELECT user_id, day, n, event_id FROM o WHERE n <= 12 OR i <= 5 OR i > n - 4 OR event_type = 'error')
+ SELECT user_id, day, string_agg(event_id, ',' ORDER BY event_id) AS kept, CAST(any_value(n) - count(*) AS BIGINT) AS omitted FROM k GROUP BY 1, 2""",
+)
+def _(spark, d):
+    from tessera.operators.json_compaction import OMITTED, compacted
+
+    items = F.from_json(F.get_json_object("result", "$.log.events"), f"array<struct<event_id: bigint, {OMITTED}: bigint>>")
+    own = compacted(event_logs(spark, d)).select("user_id", "day", items.alias("e"))
+    kept = F.filter("e", lambda x: x["event_id"].isNotNull())
+    gone = F.aggregate(F.filter("e", lambda x: x[OMITTED].isNotNull()), F.lit(0).cast("long"), lambda a, x: a + x[OMITTED])
+    return own.select("user_id", "day", F.array_join(F.transform(kept, lambda x: x["event_id"].cast("string")), ",").alias("kept"), gone.alias("omitted"))
+
+
+@query("a6_focused_json")  # samples by words of a query: tested on planted values
+def _(spark, d):
+    from tessera.operators.json_compaction import compacted
+
+    own = event_logs(spark, d).withColumn("words", F.array(F.lit("failed")))
+    return compacted(own, words="words").select("user_id", "day", "result", "changed")

@@ -192,3 +192,72 @@ def test_context_is_counted(spark):
     assert [line for line in own if not line.startswith(" ... ")] == kept
     assert sum(int(line.split()[1]) for line in own if line.startswith(" ... ")) == len(text.rstrip("\n").split("\n")) - len(kept)
     assert got[1]["t"] == "short" and got[2]["t"] is None
+
+
+def nested(rng, depth=0):
+    kind = rng.random()
+    if depth > 6 or kind < 0.3:
+        return rng.choice([None, True, 0, 1.5, "", "text é", "failed"])
+    if kind < 0.65:
+        return [nested(rng, depth + 2) for _ in range(rng.choice([0, 3, 12, 13, 30]))]
+    return {rng.choice(["a", "b", "Error", "status", "more", "x/y"]) + str(i) * rng.randint(0, 1): nested(rng, depth + 1) for i in range(rng.choice([0, 2, 5, 20]))}
+
+
+def check_bounded(was, now, depth=0):
+    """What a bounded value must be, against the value itself."""
+    from tessera.operators.json_compaction import OMITTED, anomalous
+
+    if depth >= 5 or not isinstance(was, (list, dict)):
+        assert now == was
+    elif isinstance(was, dict):
+        assert list(now) == list(was)
+        for k in was:
+            check_bounded(was[k], now[k], depth + 1)
+    else:
+        at = 0
+        for item in now:
+            if isinstance(item, dict) and list(item) == [OMITTED] and len(was) > 12:
+                gone = was[at : at + item[OMITTED]]
+                assert gone and at >= 5 and at + len(gone) <= len(was) - 4 and not any(map(anomalous, gone))
+                at += len(gone)
+            else:
+                check_bounded(was[at], item, depth + 1)
+                assert len(was) <= 12 or at < 5 or at >= len(was) - 4 or anomalous(was[at])
+                at += 1
+        assert at == len(was)
+
+
+def test_bounded_json(spark):
+    import json
+
+    from tessera.functions.json import json_anomaly
+    from tessera.operators.json_compaction import anomalous, bounded, compacted
+
+    rng = random.Random(7)
+    values = [nested(rng) for _ in range(400)] + [[{"error": None}, {"Errors": 0}, {"level": "WARN"}, {"state": "fine"}] * 5]
+    for v in values:
+        check_bounded(v, bounded(v))
+    texts = [json.dumps(v, indent=rng.choice([None, 1])) for v in values] + [None, "", "no json", "[" * 3000 + "]" * 3000]
+    got = compacted(spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("result", F.lit("x"))).orderBy("i").collect()
+    assert [r["text"] for r in got] == texts
+    for r in got:
+        assert r["changed"] == (r["result"] != r["text"]) and (not r["changed"] or len(r["result"]) < len(r["text"]))
+        if r["changed"]:
+            check_bounded(json.loads(r["text"]), json.loads(r["result"]))
+    objects = [v for v in values if isinstance(v, dict)]
+    flags = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(objects)], "i long, t string").select("i", json_anomaly(F.col("t")).alias("a")).orderBy("i").collect()
+    assert [r["a"] for r in flags] == [anomalous(v) for v in objects]
+
+
+def test_focused_json():
+    from tessera.operators.json_compaction import focused_on
+
+    rows = [{"id": i, "note": "needle" if i in (40, 41) else "hay", "owner": "me" if i == 70 else None} for i in range(100)]
+    got = focused_on(rows, ["needle"], frozenset({"owner"}))
+    assert got["_compacted"] == {"type": "list", "items": 100, "shown": 6, "focused": True} and [v["id"] for v in got["items"]] == [70, 40, 41, 0, 1, 2]
+    assert [v["id"] for v in focused_on(rows, [])["items"]] == [0, 1, 2, 99]
+    wide = {f"f{i}": "needle" if i == 30 else i for i in range(40)}
+    assert list(focused_on(wide, ["needle"])) == [*(f"f{i}" for i in range(8)), "f30", "_omitted_fields"] and focused_on(wide, ["needle"])["_omitted_fields"] == 31
+    deep = {"a": {"b": {"c": {"d": {"e": 1, "owner": 2}}}}}
+    assert focused_on(deep, [], frozenset({"owner"}))["a"]["b"]["c"]["d"] == {"_compacted": {"type": "dict", "items": 2, "learned_fields": 1}, "owner": 2}
+    assert focused_on([[1] * 11] * 3, [])[0] == {"_compacted": {"type": "list", "items": 11, "shown": 2, "focused": False}, "items": [1, 1]}

@@ -18,7 +18,7 @@ def test_same_as_sql(spark, sf, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).columns
+    assert QUERIES[name](spark, sf).collect() is not None
 
 
 def test_every_oracle_has_a_query():
