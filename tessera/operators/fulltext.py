@@ -90,7 +90,7 @@ def search(index: FullText, queries: DataFrame, k: int, first: int = 4, places:
     start = written(bounds.withColumn("r", F.row_number().over(by_bound)).where(F.col("r") <= first), "start")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", places)), "doc")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-    found = written(ranked(_scored(index, asked, start.select("query_id", "shard", F.lit(0.0).alias("least")), k)), "found")
+    found = written(ranked(_scored(index, asked, start.select("query_id", "shard", F.lit(0.0).alias("least")), k, places)), "found")
     least = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = bounds.join(start.select("query_id", "shard"), ["query_id", "shard"], "left_anti").join(least, "query_id", "left")
     rest = rest.select("query_id", "shard", F.coalesce("least", F.lit(0.0)).alias("least"), "bound").where(F.col("bound") >= F.col("least") - 10.0**-places)

@@ -214,9 +214,9 @@ def _most_overlap(spark, d, condition: str = "true"):
     return s.withColumn("rk", F.row_number().over(w)).where("rk <= 5").select("item_id", "doc_id", "overlap")
 
 
-@query("g18_trivial_baseline", "WITH q AS (SELECT DISTINCT item_id, lower(unnest(string_split(text, ' '))) AS w FROM benchmark WHERE item_id < 3), dw AS (SELECT DISTINCT doc_id, lower(unnest(string_split(text, ' '))) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN dw ON q.w = dw.w GROUP BY 1, 2) SELECT item_id, doc_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rk FROM s) WHERE rk <= 5")  # the first three items, as its SQL asks
+@query("g18_trivial_baseline", "WITH q AS (SELECT DISTINCT item_id, lower(unnest(string_split(text, ' '))) AS w FROM benchmark WHERE item_id % 50 = 0), dw AS (SELECT DISTINCT doc_id, lower(unnest(string_split(text, ' '))) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN dw ON q.w = dw.w GROUP BY 1, 2) SELECT item_id, doc_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rk FROM s) WHERE rk <= 5")  # the stated query set
 def _(spark, d):
-    return _most_overlap(spark, d, "item_id < 3")
+    return _most_overlap(spark, d, "item_id % 50 = 0")
 
 
 @query("g18_trivial_baseline_all")
