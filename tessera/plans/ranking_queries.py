@@ -142,7 +142,7 @@ def _(spark, d):
     return neighbors(_edges(spark, d))
 
 
-_GR2 = f"""WITH {_EDGES}, w AS (SELECT *, CASE kind WHEN 'imports' THEN 0.95::DOUBLE WHEN 'imported-by' THEN 0.9 WHEN 'calls-symbol' THEN 0.9 ELSE 0.85 END AS c FROM e WHERE src % 9 <> 0 OR src < 9),
+_GR2 = f"""WITH {_EDGES}, w AS (SELECT *, CASE kind WHEN 'imports' THEN 0.95::DOUBLE WHEN 'imported-by' THEN 0.9 WHEN 'calls-symbol' THEN 0.9 ELSE 0.85 END AS c FROM e),
  l1 AS (SELECT dst AS path, 1 AS distance, max(c) AS confidence FROM w WHERE src = 3 AND dst <> 3 GROUP BY 1),
  l2 AS (SELECT dst AS path, 2 AS distance, max(c) * 0.75 AS confidence FROM w JOIN l1 ON w.src = l1.path WHERE dst <> 3 AND dst NOT IN (SELECT path FROM l1) GROUP BY 1)
  SELECT path, distance, round(confidence, 6) AS confidence FROM l1 UNION ALL SELECT path, distance, round(confidence, 6) FROM l2"""
@@ -152,8 +152,7 @@ _GR2 = f"""WITH {_EDGES}, w AS (SELECT *, CASE kind WHEN 'imports' THEN 0.95::DO
 def _(spark, d):
     from tessera.operators.graph import closure
 
-    edges = _edges(spark, d).where("src % 9 <> 0 or src < 9")
-    return closure(edges, spark.range(3, 4).select(F.col("id").alias("path")), 2).select("path", "distance", F.round("confidence", 6).alias("confidence"))
+    return closure(_edges(spark, d), spark.range(3, 4).select(F.col("id").alias("path")), 2).select("path", "distance", F.round("confidence", 6).alias("confidence"))
 
 
 @query("gr4_impact", f"WITH {_EDGES} SELECT dst AS path, max(CASE kind WHEN 'imported-by' THEN 0.95::DOUBLE WHEN 'calls-symbol' THEN 0.9 ELSE 0.75 END) AS confidence FROM e WHERE src IN (1, 2) AND dst NOT IN (1, 2) GROUP BY 1")

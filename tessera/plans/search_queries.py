@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.plans.ranking_queries import BM25_ALL
@@ -66,3 +67,32 @@ def _(spark, d):
     asked = typed_terms(spark, d)
     vocabulary = exploded_terms(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], {"text": (F.col("text"), 1)}).select("term")
     return typos.expanded(asked, typos.corrections(vocabulary, asked))
+
+
+def ranked_parts(spark, d):
+    """query_id, path, rank, score, relevant, priority: each nation's suppliers' parts modulo 100 as a ranking, and edges of the five kinds."""
+    from tessera.plans.ranking_queries import _edges
+
+    supplier = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("query_id"))
+    lines = table(spark, d, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    scored = lines.groupBy("query_id", (F.col("l_partkey") % 100).alias("path")).agg(F.round(F.sum("l_quantity"), 2).cast("double").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("relevant", F.col("rank") % 3 == 1).withColumn("priority", F.col("path") % 10 == 0)
+    edges = _edges(spark, d).withColumn("kind", F.when((F.col("src") + F.col("dst")) % 11 == 0, "semantic-ref").otherwise(F.col("kind"))).distinct()
+    return ranked, edges
+
+
+@query("r8_graph_credit")  # frontiers by query are a loop: tested against a loop over queries
+def _(spark, d):
+    from tessera.operators.graph import graph_credit
+
+    ranked, edges = ranked_parts(spark, d)
+    return graph_credit(ranked, edges).select("query_id", "path", F.round("graph", 6).alias("graph"), "reason")
+
+
+@query("r13_semantic_credit")  # as r8
+def _(spark, d):
+    from tessera.operators.graph import semantic_credit
+
+    ranked, edges = ranked_parts(spark, d)
+    return semantic_credit(ranked, ranked.where("path % 2 = 0"), edges).select("query_id", "path", F.round("graph", 6).alias("graph"), "reason")

@@ -94,3 +94,51 @@ def test_expansion_over_the_documents(spark, sf):
     found = brute_corrections([r["t"] for r in docs], [t for _, t in asked], 0.88, 0.08)
     want = {(q, t, False) for q, t in asked} | {(q, found[t.lower()][0], True) for q, t in asked if t.lower() in found and (q, found[t.lower()][0]) not in set(asked)}
     assert {tuple(r) for r in QUERIES["r0_expanded_terms"](spark, sf).collect()} == want and any(a for *_, a in want)
+
+
+def walk(edges, seeds, hops, max_items, least):
+    """One query's closure, step by step: path -> (distance, reason, source, confidence)."""
+    from tessera.operators.graph import CLOSURE, DECAY
+
+    seen, level, out = set(seeds), set(seeds), {}
+    for hop in range(1, hops + 1):
+        met = [(-CLOSURE.get(k, 0.6) * DECAY ** (hop - 1), d, s, k) for s, d, k in edges if s in level and d not in seen]
+        level = set()
+        for c, d, s, k in sorted(m for m in met if -m[0] >= least):
+            if d not in seen and len(out) < max_items:
+                seen.add(d)
+                out[d] = (hop, k, s, -c)
+                if k != "semantic-ref":
+                    level.add(d)
+    return out
+
+
+def test_graph_credit_is_that_of_each_query(spark, sf):
+    from tessera.operators.graph import CLOSURE
+    from tessera.plans.search_queries import ranked_parts
+
+    ranked, edges = ranked_parts(spark, sf)
+    edges = sorted(tuple(r) for r in edges.select("src", "dst", "kind").collect())
+    by = {}
+    for r in ranked.collect():
+        by.setdefault(r["query_id"], []).append(r)
+    want, semantic = {}, {}
+    for q, rows in by.items():
+        pool = sorted((r for r in rows if r["relevant"]), key=lambda r: (not r["priority"], r["rank"], r["path"]))
+        own = walk(edges, [r["path"] for r in pool[:8]], 2, 20, 0.5)
+        names = {r["path"] for r in pool}
+        for s, d, k in edges:
+            if k == "semantic-ref" and s in names and d not in names and d not in own:
+                own[d] = (1, k, s, CLOSURE[k])
+        seeds = [r["path"] for r in sorted((r for r in rows if r["path"] % 2 == 0), key=lambda r: r["rank"])][:12]
+        near = {d: (-c, s, k) for d, (_, k, s, c) in walk(edges, seeds, 1, 24, 0.8).items()}
+        for s, d, k in edges:
+            if k == "semantic-ref" and s in seeds and d not in seeds:
+                near[d] = min(near.get(d, (0, s, k)), (-CLOSURE[k], s, k))
+        for r in rows:
+            p = r["path"]
+            want[q, p] = (round(2.5 * own[p][3], 6), f"{own[p][1]}:{own[p][2]}@{own[p][0]}") if p in own else (0.0, None)
+            semantic[q, p] = (round(min(10.0, -2.5 * near[p][0]), 6), f"{near[p][2]}:{near[p][1]}") if p in near else (0.0, None)
+    for name, expected in (("r8_graph_credit", want), ("r13_semantic_credit", semantic)):
+        got = {(r["query_id"], r["path"]): (r["graph"], r["reason"]) for r in QUERIES[name](spark, sf).collect()}
+        assert got == expected and any(g for g, _ in expected.values()), name
