@@ -55,12 +55,14 @@ class PrefixBpe(SpeculativeBpe):
         sizes: dict[bytes, set[int]] = {}
         self.joined: dict[int, int] = {}  # what a pair of tokens merges to
         for z, i in ranks.items():
-            sizes.setdefault(z[-2:], set()).add(len(z))
+            sizes.setdefault(z[-3:], set()).add(len(z))
             for k in range(1, len(z)):
                 if (a := ranks.get(z[:k])) is not None and (b := ranks.get(z[k:])) is not None:
                     self.joined[a * self.size + b] = i
-        #: How long tokens are that end with these two bytes, the longest first.
-        self.sizes = {end: tuple(sorted(found | {1}, reverse=True)) for end, found in sizes.items()}
+        #: How long tokens are that end with these bytes (three, or two where no longer token ends so), the longest first.
+        pairs = {end for end in sizes if len(end) == 2}
+        self.sizes = {end: tuple(sorted(found | ({1, 2} if end[-2:] in pairs else {1}), reverse=True)) for end, found in sizes.items() if len(end) > 1}
+        self.reachable: dict[bytes, int] | None = None  # the tokens that their bytes merge to, made when first needed
         self.special: dict[str, int] = {}
         self.split_special = None
         self.pattern = regex.compile(pattern)
@@ -179,19 +181,19 @@ class PrefixBpe(SpeculativeBpe):
 
     def fill(self, word: bytes, last: list[int], begin: int) -> None:
         """Extend a table that holds the last tokens of the prefixes up to ``begin``."""
-        get, sizes, spines, fit, size = self.id_of.get, self.sizes.get, self.spines, self.fit, self.size
+        if self.reachable is None:
+            self.reachable = {b: i for b, i in self.id_of.items() if self.spine(i) is not None}
+        get, sizes, fit, size = self.reachable.get, self.sizes.get, self.fit.get, self.size
         for i in range(begin + 1, len(word) + 1):
-            for n in sizes(word[i - 2 : i], (1,)) if i > 1 else (1,):
+            for n in (i > 2 and sizes(word[i - 3 : i])) or (i > 1 and sizes(word[i - 2 : i])) or (1,):
                 k = i - n
                 if k < 0 or (t := get(word[k:i])) is None:
                     continue
-                if (t not in spines and self.spine(t) is None) or spines[t] is None:
-                    continue
                 if k:
-                    known = fit.get(last[k] * size + t)
+                    known = fit(last[k] * size + t)
                     if known is None:
                         known = self.fits(last[k], t)
-                        fit = self.fit
+                        fit = self.fit.get
                     if not known:
                         continue
                 last.append(t)
