@@ -35,7 +35,7 @@ from tessera.llm.op8_bpe import _SETTLED, SpeculativeBpe, _added, _gather
 
 NEVER = 1 << 40
 #: Remembered pairs of a worker; beyond that it starts anew.
-PAIRS = 2_000_000
+PAIRS = 500_000
 #: A space between two characters that are none: a match of the pattern begins there, whatever lies before or after.
 _BORDER = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -182,7 +182,7 @@ class PrefixBpe(SpeculativeBpe):
     def fill(self, word: bytes, last: list[int], begin: int) -> None:
         """Extend a table that holds the last tokens of the prefixes up to ``begin``."""
         if self.reachable is None:
-            self.reachable = {b: i for b, i in self.id_of.items() if self.spine(i) is not None}
+            self.reachable = {b: i for b, i in self.id_of.items() if self.merge_steps(b)[0] == [i]}
         get, sizes, fit, size = self.reachable.get, self.sizes.get, self.fit.get, self.size
         for i in range(begin + 1, len(word) + 1):
             for n in (i > 2 and sizes(word[i - 3 : i])) or (i > 1 and sizes(word[i - 2 : i])) or (1,):
