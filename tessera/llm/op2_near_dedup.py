@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise, pieces, scratch, table
+from tessera.llm.common import handing_back, materialise, pieces, scratch, table
 from tessera.llm.graph import components
 from tessera.llm.shingles import mix, set_digest, shingle_set, signatures
 
@@ -60,7 +60,7 @@ def _digested(docs: DataFrame, also: list[str]) -> DataFrame:
 
     own = docs.select("text", "doc_id", *also)
     more = T.StructType(own.schema.fields[1:]).add("n_shingles", "long").add("class", "binary").add("symbols", "binary").add("sketch", "binary")
-    return own.mapInArrow(run, more)
+    return own.mapInArrow(handing_back(run), more)
 
 
 def _pack(sig: np.ndarray) -> bytes:
@@ -111,7 +111,7 @@ def _grouped(names: list[str], each: Callable[[dict[str, np.ndarray]], list[tupl
                     if len(found) > 20_000:
                         yield out(found)
                         found = []
-                    if len(seen) > 500_000:
+                    if len(seen) > 100_000:
                         seen.clear()
             if found:
                 yield out(found)
@@ -224,7 +224,7 @@ def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
 
     # a class without any id is found by its digest alone, among the rows without one
     rows = _needed(docs.where(F.col("doc_id").isNotNull()), own.where(F.col("rep_id").isNotNull()).select("rep_id"))
-    made = rows.unionByName(docs.where(F.col("doc_id").isNull())).mapInArrow(run, "id long, class binary, shingles binary")
+    made = rows.unionByName(docs.where(F.col("doc_id").isNull())).mapInArrow(handing_back(run), "id long, class binary, shingles binary")
     own = own.withColumnRenamed("class", "of")
     made = made.join(own, (F.col("class") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep_id")))
     return materialise(made.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
@@ -246,7 +246,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, min_percent:
             keep = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["u", "v"])
 
-    return both.select("lu", "lv", "su", "sv").mapInArrow(run, "u long, v long")
+    return both.select("lu", "lv", "su", "sv").mapInArrow(handing_back(run), "u long, v long")
 
 
 def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -285,8 +285,8 @@ def linked(docs: DataFrame, min_percent: int = 75, also: list[str] | None = None
         classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
         # sets of one or two shingles are near no other set
-        filed = classes.where(F.col("n") > 2).select("cid", "symbols").mapInArrow(_keys, "key long, cid long")
-        met = materialise(filed.repartition("key").sortWithinPartitions("key").mapInArrow(_multi, "key long, cid long"), "buckets")
+        filed = classes.where(F.col("n") > 2).select("cid", "symbols").mapInArrow(handing_back(_keys), "key long, cid long")
+        met = materialise(filed.repartition("key").sortWithinPartitions("key").mapInArrow(handing_back(_multi), "key long, cid long"), "buckets")
         sketched = classes.select("cid", "n", "sketch")
         labels = None
 
@@ -295,7 +295,7 @@ def linked(docs: DataFrame, min_percent: int = 75, also: list[str] | None = None
             own = _labelled(met.where(F.floor(F.shiftright("key", 50) / 4) == round_no), labels)
             stars = own.join(_buckets(own, round_no), "key").where("label <> big").select(F.col("cid").alias("u"), F.col("pivot").alias("v"), F.col("label").alias("lu"), F.col("big").alias("lv")).distinct()
             x, y = (sketched.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
-            close = stars.join(x, "u").join(y, "v").select("nu", "nv", "su", "sv", "u", "v", "lu", "lv").mapInArrow(_close, "u long, v long, lu long, lv long, d long")
+            close = stars.join(x, "u").join(y, "v").select("nu", "nv", "su", "sv", "u", "v", "lu", "lv").mapInArrow(handing_back(_close), "u long, v long, lu long, lv long, d long")
             best = close.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("place") <= NEAREST)
             labels = _merged(labels, components(_verify(best, docs, classes, min_percent)))
 
@@ -313,7 +313,7 @@ def linked(docs: DataFrame, min_percent: int = 75, also: list[str] | None = None
         names = ["gid", "key", "cid", "label", "side", "n", "sketch", "symbols"]
         spread = own.join(classes.select("cid", "n", "sketch", "symbols"), "cid").select("*", F.explode(dealt).alias("x")).select("*", "x.*").select(*names)
         told = pa.schema([(c, pa.int64()) for c in ("u", "v", "lu", "lv", "d")])
-        pairs = materialise(spread.repartition("gid").sortWithinPartitions("gid").mapInArrow(_grouped(names, _cross, told), "u long, v long, lu long, lv long, d long"), "cross")
+        pairs = materialise(spread.repartition("gid").sortWithinPartitions("gid").mapInArrow(handing_back(_grouped(names, _cross, told)), "u long, v long, lu long, lv long, d long"), "cross")
         # the nearest pairs of two components first: where they are linked, the other pairs of theirs need no proof
         apart = Window.partitionBy(F.least("lu", "lv"), F.greatest("lu", "lv")).orderBy("d", "u", "v")
         first = materialise(pairs.withColumn("place", F.row_number().over(apart)).where(F.col("place") <= NEAREST), "first")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, remainder, table
+from tessera.llm.common import handing_back, pieces, remainder, table
 
 WINDOW = 256
 UND = "und"
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
                     label += [lab] * len(at)
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(label, pa.string())], names=["x", "l"])
 
-    seen = picked.mapInArrow(cut, "x binary, l string").collect()
+    seen = picked.mapInArrow(handing_back(cut), "x binary, l string").collect()
     if not seen:
         return None
     seen.sort(key=lambda r: (r["l"], bytes(r["x"])))
@@ -201,7 +201,7 @@ def predict(df: DataFrame, net: ByteCnn | None, text: str = "text") -> DataFrame
     from pyspark.sql import types as T
 
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(handing_back(run), schema)
 
 
 def learnable() -> Column:
