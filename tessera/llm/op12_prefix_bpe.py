@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from tessera.llm.common import pieces, table
 from tessera.llm.op8_bpe import _SETTLED, SpeculativeBpe, _added, _gather
 
 NEVER = 1 << 40
-#: Remembered pairs of a worker; beyond that it starts anew.
-PAIRS = 500_000
+#: Places for remembered pairs of a worker, 8 bytes each (32 MB); a pair takes the place of the one that was there.
+PLACES = 4_194_301
 #: A space between two characters that are none: a match of the pattern begins there, whatever lies before or after.
 _BORDER = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -52,16 +53,6 @@ class PrefixBpe(SpeculativeBpe):
         for b, i in ranks.items():
             self.bytes_of[i] = b
         self.longest = max(map(len, ranks))
-        sizes: dict[bytes, set[int]] = {}
-        self.joined: dict[int, int] = {}  # what a pair of tokens merges to
-        for z, i in ranks.items():
-            sizes.setdefault(z[-3:], set()).add(len(z))
-            for k in range(1, len(z)):
-                if (a := ranks.get(z[:k])) is not None and (b := ranks.get(z[k:])) is not None:
-                    self.joined[a * self.size + b] = i
-        #: How long tokens are that end with these bytes (three, or two where no longer token ends so), the longest first.
-        pairs = {end for end in sizes if len(end) == 2}
-        self.sizes = {end: tuple(sorted(found | ({1, 2} if end[-2:] in pairs else {1}), reverse=True)) for end, found in sizes.items() if len(end) > 1}
         self.reachable: dict[bytes, int] | None = None  # the tokens that their bytes merge to, made when first needed
         self.special: dict[str, int] = {}
         self.split_special = None
@@ -70,9 +61,34 @@ class PrefixBpe(SpeculativeBpe):
         self.stand_in: dict[int, str] = {}
         self.token_bytes = None
         self.spines: dict[int, tuple | None] = {}
-        self.fit: dict[int, bool] = {}
         self.forget()
 
+    # made when first needed: decoding needs none of them
+
+    @cached_property
+    def joined(self) -> dict[int, int]:
+        """What a pair of tokens merges to."""
+        get, found = self.id_of.get, {}
+        for z, i in self.id_of.items():
+            for k in range(1, len(z)):
+                if (a := get(z[:k])) is not None and (b := get(z[k:])) is not None:
+                    found[a * self.size + b] = i
+        return found
+
+    @cached_property
+    def sizes(self) -> dict[bytes, tuple[int, ...]]:
+        """How long tokens are that end with these bytes (three, or two where no longer token ends so), the longest first."""
+        sizes: dict[bytes, set[int]] = {}
+        for z in self.id_of:
+            sizes.setdefault(z[-3:], set()).add(len(z))
+        pairs = {end for end in sizes if len(end) == 2}
+        return {end: tuple(sorted(found | ({1, 2} if end[-2:] in pairs else {1}), reverse=True)) for end, found in sizes.items() if len(end) > 1}
+
+    @cached_property
+    def places(self) -> array:
+        """Of remembered pairs twice their number, plus one if they fit, each at its place."""
+        return array("q", [-1]) * PLACES
+
     def split(self, text: str) -> list[str]:
         """Matches of the pattern. Characters whose class depends on the version of Unicode take the class the library gives them."""
         if not _SETTLED.search(text):
@@ -148,18 +164,16 @@ class PrefixBpe(SpeculativeBpe):
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the joined bytes of two tokens gives these two again."""
-        key = a * self.size + b
-        known = self.fit.get(key)
-        if known is not None:
-            return known
-        if len(self.fit) >= PAIRS:
-            self.fit = {}
+        pair = 2 * (a * self.size + b)
+        held = self.places[pair % PLACES]
+        if held >> 1 == pair >> 1:
+            return held > pair
         one, two = self.spine(a), self.spine(b)
         if one[2] and two[2]:
             known = self._apart(one[0], two[1])
         else:
             known = self.merge_steps(self.bytes_of[a] + self.bytes_of[b])[0] == [a, b]
-        self.fit[key] = known
+        self.places[pair % PLACES] = pair + known
         return known
 
     def _apart(self, left: tuple, right: tuple) -> bool:
@@ -183,18 +197,16 @@ class PrefixBpe(SpeculativeBpe):
         """Extend a table that holds the last tokens of the prefixes up to ``begin``."""
         if self.reachable is None:
             self.reachable = {b: i for b, i in self.id_of.items() if self.merge_steps(b)[0] == [i]}
-        get, sizes, fit, size = self.reachable.get, self.sizes.get, self.fit.get, self.size
+        get, sizes, places, size = self.reachable.get, self.sizes.get, self.places, 2 * self.size
         for i in range(begin + 1, len(word) + 1):
             for n in (i > 2 and sizes(word[i - 3 : i])) or (i > 1 and sizes(word[i - 2 : i])) or (1,):
                 k = i - n
                 if k < 0 or (t := get(word[k:i])) is None:
                     continue
                 if k:
-                    known = fit(last[k] * size + t)
-                    if known is None:
-                        known = self.fits(last[k], t)
-                        fit = self.fit.get
-                    if not known:
+                    pair = last[k] * size + t + t
+                    held = places[pair % PLACES]
+                    if held != pair + 1 and (held == pair or not self.fits(last[k], t)):
                         continue
                 last.append(t)
                 break
