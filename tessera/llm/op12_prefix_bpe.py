@@ -37,6 +37,8 @@ from tessera.llm.op8_bpe import _SETTLED, SpeculativeBpe, _added, _gather
 NEVER = 1 << 40
 #: Places for remembered pairs of a worker, 8 bytes each (32 MB); a pair takes the place of the one that was there.
 PLACES = 4_194_301
+#: Bytes by whose end the lengths of possible tokens are looked up.
+ENDING = 5
 #: A space between two characters that are none: a match of the pattern begins there, whatever lies before or after.
 _BORDER = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -53,7 +55,6 @@ class PrefixBpe(SpeculativeBpe):
         for b, i in ranks.items():
             self.bytes_of[i] = b
         self.longest = max(map(len, ranks))
-        self.reachable: dict[bytes, int] | None = None  # the tokens that their bytes merge to, made when first needed
         self.special: dict[str, int] = {}
         self.split_special = None
         self.pattern = regex.compile(pattern)
@@ -75,14 +76,21 @@ class PrefixBpe(SpeculativeBpe):
                     found[a * self.size + b] = i
         return found
 
+    @cached_property
+    def reachable(self) -> dict[bytes, int]:
+        """The tokens that merging their bytes gives."""
+        return {b: i for b, i in self.id_of.items() if self.merge_steps(b)[0] == [i]}
+
     @cached_property
     def sizes(self) -> dict[bytes, tuple[int, ...]]:
-        """How long tokens are that end with these bytes (three, or two where no longer token ends so), the longest first."""
-        sizes: dict[bytes, set[int]] = {}
-        for z in self.id_of:
-            sizes.setdefault(z[-3:], set()).add(len(z))
-        pairs = {end for end in sizes if len(end) == 2}
-        return {end: tuple(sorted(found | ({1, 2} if end[-2:] in pairs else {1}), reverse=True)) for end, found in sizes.items() if len(end) > 1}
+        """How long these tokens are that end with so many bytes (ENDING, or fewer where no longer token ends so), the longest first."""
+        found: dict[bytes, set[int]] = {}
+        for z in self.reachable:
+            if len(z) > 1:
+                found.setdefault(z[-ENDING:], {1}).add(len(z))
+        for end, of in found.items():
+            of.update(n for n in range(2, len(end)) if end[-n:] in self.reachable)
+        return {end: tuple(sorted(of, reverse=True)) for end, of in found.items()}
 
     @cached_property
     def places(self) -> array:
@@ -195,11 +203,9 @@ class PrefixBpe(SpeculativeBpe):
 
     def fill(self, word: bytes, last: list[int], begin: int) -> None:
         """Extend a table that holds the last tokens of the prefixes up to ``begin``."""
-        if self.reachable is None:
-            self.reachable = {b: i for b, i in self.id_of.items() if self.merge_steps(b)[0] == [i]}
         get, sizes, places, size = self.reachable.get, self.sizes.get, self.places, 2 * self.size
         for i in range(begin + 1, len(word) + 1):
-            for n in (i > 2 and sizes(word[i - 3 : i])) or (i > 1 and sizes(word[i - 2 : i])) or (1,):
+            for n in (i > 4 and sizes(word[i - 5 : i])) or (i > 3 and sizes(word[i - 4 : i])) or (i > 2 and sizes(word[i - 3 : i])) or (i > 1 and sizes(word[i - 2 : i])) or (1,):
                 k = i - n
                 if k < 0 or (t := get(word[k:i])) is None:
                     continue
