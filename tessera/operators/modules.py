@@ -1,10 +1,25 @@
-"""Module references of source files, resolved against known paths."""
+"""Module references of source files, found in their text, resolved against known paths, and joined to typed edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import neighbors
+
+# Forms of imports, re-exports and uses; the clause is the first group, the module's name the second.
+NAMED_IMPORT = r"(?Us)\bimport\s+(?:type\s+)?\{([^}]+)\}\s+from\s+['\"]([^'\"]+)['\"]"
+DEFAULT_IMPORT = r"(?Us)\bimport\s+(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,\s*\{[^}]*\})?\s+from\s+['\"]([^'\"]+)['\"]"
+NAMESPACE_IMPORT = r"(?U)\bimport\s+\*\s+as\s+([A-Za-z_$][\w$]*)\s+from\s+['\"]([^'\"]+)['\"]"
+NAMED_EXPORT = r"(?Us)\bexport\s+(?:type\s+)?\{([^}]+)\}\s+from\s+['\"]([^'\"]+)['\"]"
+STAR_EXPORT = r"(?U)\bexport\s+(\*)\s+from\s+['\"]([^'\"]+)['\"]"
+REQUIRED = r"(?Us)\b(?:const|let|var)\s+\{([^}]+)\}\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)"
+CALL = r"(?U)\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
+MEMBER = r"(?U)\b([A-Za-z_$][\w$]*)\.([A-Za-z_$][\w$]*)\b"
+NAME = r"(?U)^[A-Za-z_$][\w$]*$"
+#: Kinds of edges, the surest first.
+KINDS = ("semantic-call", "semantic-ref", "reexport", "imported-by", "imports", "calls-symbol", "calls")
+
 # What a module's name may lack, in the order of preference.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 
@@ -29,3 +44,75 @@ def resolve_modules(refs: DataFrame, paths: DataFrame) -> DataFrame:
     tried = own.withColumn("_base", base).select("src", "module", F.posexplode(F.transform(names, lambda n: F.concat("_base", n))).alias("_i", "path"))
     known = tried.join(paths.select("path").distinct(), "path")
     return known.groupBy("src", "module").agg(F.min_by("path", "_i").alias("path"))
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """clause, module of each match."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("clause"), F.regexp_extract(m, pattern, 2).alias("module")))
+
+
+def _bound(clause: Column) -> Column:
+    """symbol, local of each binding in a clause in braces; what isn't a name, or a name for a name, is left out."""
+    parts = F.transform(F.split(clause, ","), lambda p: F.split(F.regexp_replace(F.regexp_replace(p, r"(?U)^\s+|\s+$", ""), r"(?U)^type\s+", ""), r"(?U)\s+as\s+|\s*:\s*", 2))
+    pairs = F.transform(parts, lambda b: F.struct(b[0].alias("symbol"), F.coalesce(F.get(b, F.lit(1)), b[0]).alias("local")))
+    return F.filter(pairs, lambda b: b["symbol"].rlike(NAME) & b["local"].rlike(NAME))
+
+
+def _ref(module: Column, symbol: Column, local: Column, kind: Column) -> Column:
+    return F.struct(module.alias("module"), symbol.alias("symbol"), local.alias("local"), kind.alias("kind"))
+
+
+def module_refs(sources: DataFrame) -> DataFrame:
+    """src, module, symbol, local, kind: what each source (src, text) takes from other modules, each reference once.
+
+    An imported name counts if it is called (semantic-call) or met a second time (semantic-ref); of a namespace its members count;
+    re-exports always do. A null or empty text has none. All matching stays in the row; only the references leave it.
+    """
+    text, calls = F.col("text"), F.col("calls")
+    own = sources.select("src", "text").withColumn("calls", F.array_distinct(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))))
+    own = own.withColumn("bare", F.transform("calls", lambda c: F.element_at(F.split(c, r"\."), -1)))
+    seen_again = lambda name: F.regexp_count(text, F.concat(F.lit(r"(?U)\b"), F.regexp_replace(name, r"\$", r"\\\$"), F.lit(r"\b"))) > 1
+    called = lambda name: F.array_contains(F.col("bare"), name)
+    kind = lambda yes: F.when(yes, "semantic-call").otherwise("semantic-ref")
+    used = lambda refs: F.filter(refs, lambda r: (r["kind"] == "semantic-call") | seen_again(r["local"]))
+    each = lambda pattern, make: F.flatten(F.transform(_found(text, pattern), lambda m: F.transform(_bound(m["clause"]), lambda b: make(m, b))))
+    named = lambda pattern: used(each(pattern, lambda m, b: _ref(m["module"], b["symbol"], b["local"], kind(called(b["local"])))))
+    default = used(F.transform(_found(text, DEFAULT_IMPORT), lambda m: _ref(m["module"], F.lit("default"), m["clause"], kind(called(m["clause"])))))
+    members = F.array_distinct(F.regexp_extract_all("text", F.lit(MEMBER), F.lit(0)))
+    of_space = lambda m: F.filter(members, lambda x: F.split(x, r"\.")[0] == m["clause"])
+    space_called = lambda x: F.exists(calls, lambda c: (c == x) | c.startswith(F.concat(x, F.lit("."))))
+    spaces = F.flatten(F.transform(_found(text, NAMESPACE_IMPORT), lambda m: F.transform(of_space(m), lambda x: _ref(m["module"], F.split(x, r"\.")[1], x, kind(space_called(x))))))
+    exported = each(NAMED_EXPORT, lambda m, b: _ref(m["module"], b["symbol"], b["local"], F.lit("reexport")))
+    stars = F.transform(_found(text, STAR_EXPORT), lambda m: _ref(m["module"], F.lit("*"), F.lit("*"), F.lit("reexport")))
+    refs = F.array_distinct(F.concat(named(NAMED_IMPORT), default, spaces, named(REQUIRED), exported, stars))
+    return own.select("src", F.explode(refs).alias("r")).select("src", "r.*")
+
+
+def _last(value: Column, mark: str) -> Column:
+    return F.element_at(F.split(value, mark), -1)
+
+
+def _import_keys(value: Column) -> Column:
+    """The last part of an import's path in lower case, and what stands behind its last dot."""
+    name = F.lower(_last(F.regexp_replace(value, r"(/\.?)+$", ""), "/"))
+    return F.array(name, _last(name, r"\."))
+
+
+def typed_edges(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """src, dst, kind: for each file its neighbours, each by its surest kind in the order of KINDS.
+
+    files: path and arrays symbols, calls, imports; refs as ``module_refs`` gives them. A file's stem is joined with what others import, and
+    its symbols with what others call: two equi-joins of distinct keys, read in both directions. References resolved to a known
+    path win over both; of several kinds to one path a call does, then the first in order.
+    """
+    stem = F.lower(F.regexp_replace(_last(F.col("path"), "/"), r"(?<=.)\.[^.]+$", ""))
+    keys = lambda name, key: files.select(F.col("path").alias(name), F.explode(key).alias("key")).where("key <> ''").distinct()
+    importers = keys("a", F.flatten(F.transform("imports", _import_keys)))
+    callers = keys("a", F.transform("calls", lambda c: F.lower(_last(c, r"\."))))
+    met = importers.join(keys("b", F.array(stem)), "key").select("a", "b", F.lit("imports").alias("to"), F.lit("imported-by").alias("back"))
+    met = met.unionByName(callers.join(keys("b", F.transform("symbols", F.lower)), "key").select("a", "b", F.lit("calls").alias("to"), F.lit("calls-symbol").alias("back")))
+    plain = met.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("to").alias("kind")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("back").alias("kind")))).alias("e")).select("e.*")
+    own = refs.join(resolve_modules(refs, files).withColumnRenamed("path", "dst"), ["src", "module"])
+    first = F.struct((F.col("kind") != "semantic-call").alias("later"), "module", "symbol", "local", "kind")
+    semantic = own.groupBy("src", "dst").agg(F.min(first)["kind"].alias("kind"))
+    return neighbors(plain.unionByName(semantic), KINDS)
