@@ -35,15 +35,16 @@ def plain_path(path: Column) -> Column:
 def resolve_modules(refs: DataFrame, paths: DataFrame) -> DataFrame:
     """src, module, path: the known path a relative module name stands for; names without one are left out.
 
-    refs: src, module; paths: path. Every possible path of a distinct name is joined by equality, the first by preference stays.
+    refs: src, module; paths: path. Each known path stands for as many bases as it has endings (three at most), so a name is joined
+    once, by its base, and the base's path that comes first by preference stays.
     """
-    own = refs.where(F.col("module").startswith(".")).select("src", "module").distinct()
     folder = F.when(F.instr("src", "/") > 0, F.regexp_replace("src", "/[^/]*$", "")).otherwise("")
-    base = plain_path(F.concat_ws("/", folder, "module"))
-    names = F.array(*[F.lit(e) for e in ENDINGS], *[F.lit("/index" + e) for e in ENDINGS[1:]])
-    tried = own.withColumn("_base", base).select("src", "module", F.posexplode(F.transform(names, lambda n: F.concat("_base", n))).alias("_i", "path"))
-    known = tried.join(paths.select("path").distinct(), "path")
-    return known.groupBy("src", "module").agg(F.min_by("path", "_i").alias("path"))
+    own = refs.where(F.col("module").startswith(".")).select("src", "module", plain_path(F.concat_ws("/", folder, "module")).alias("_base"))
+    path, tails = F.col("path"), [*ENDINGS, *["/index" + e for e in ENDINGS[1:]]]
+    bases = F.array_compact(F.array(*[F.when(path.endswith(e), F.struct(F.left(path, F.length(path) - len(e)).alias("_base"), F.lit(i).alias("_i"))) for i, e in enumerate(tails)]))
+    known = paths.select("path", F.explode(bases).alias("b")).select("b._base", "b._i", "path").groupBy("_base").agg(F.min_by("path", "_i").alias("path"))
+    # rows of one name share its base, so they are together already when they are made distinct
+    return own.join(known, "_base").groupBy("_base", "src", "module").agg(F.first("path").alias("path")).drop("_base")
 
 
 def _found(text: Column, pattern: str) -> Column:
