@@ -40,18 +40,25 @@ def head_errors_tail(df: DataFrame, key: str, max_lines: int = 80, keep_tail: in
 
     The head shrinks by the number of error lines, at most 30, and never below 10.
     """
-    # one pass over each text's own array of lines: nothing is shuffled
-    flagged = df.select(key, F.split(text, "\n").alias("a")).select(key, "a", F.size("a").alias("n"), F.size(F.filter("a", lambda x: x.rlike(ERROR_HINTS))).alias("hits"))
-    tail = F.greatest(F.lit(0), F.least(F.lit(keep_tail), F.col("n") - 1))
-    head = F.greatest(F.lit(0), F.least(F.greatest(F.lit(10), F.lit(max_lines - keep_tail) - F.least("hits", F.lit(30))), F.col("n") - F.col("tail")))
-    own = flagged.withColumn("tail", tail).withColumn("head", head)
-    rows = F.transform("a", lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.when((F.col("n") <= max_lines) | (i < F.col("head")), "head").when(i >= F.col("n") - F.col("tail"), "tail").when(x.rlike(ERROR_HINTS), "error").alias("part")))
-    own = own.select(key, F.filter(rows, lambda r: r["part"].isNotNull()).alias("rows"))
-    errors = F.filter("rows", lambda r: r["part"] == "error")
-    own = own.withColumn("keys", F.slice(F.array_distinct(F.transform(errors, lambda r: F.trim(r["line"]))), 1, max_errors))
-    first = lambda k: F.element_at(F.filter(errors, lambda r: F.trim(r["line"]) == k), 1)
-    own = own.select(key, F.concat(F.filter("rows", lambda r: r["part"] == "head"), F.transform("keys", first), F.filter("rows", lambda r: r["part"] == "tail")).alias("rows"))
-    return own.select(key, F.explode("rows").alias("r")).select(key, F.col("r.i").cast("long").alias("i"), "r.line", "r.part")
+    # within each text's own array of lines, each step bound once, so that none is computed again for every line: nothing is shuffled
+
+    def picked(rows: Column) -> Column:
+        told = lambda part: F.filter(rows, lambda r: r["part"] == part)
+        first = lambda e, t: F.transform(F.slice(F.array_distinct(t), 1, max_errors), lambda k: F.element_at(e, F.array_position(t, k).cast("int")))
+        errors = let(told("error"), lambda e: let(F.transform(e, lambda r: F.trim(r["line"])), lambda t: first(e, t)))
+        return F.concat(told("head"), errors, told("tail"))
+
+    def of(a: Column) -> Column:
+        n = F.size(a)
+        tail = F.greatest(F.lit(0), F.least(F.lit(keep_tail), n - 1))
+        hits = F.size(F.filter(a, lambda x: x.rlike(ERROR_HINTS)))
+        head = F.greatest(F.lit(0), F.least(F.greatest(F.lit(10), F.lit(max_lines - keep_tail) - F.least(hits, F.lit(30))), n - tail))
+        part = lambda x, i, h: F.when((n <= max_lines) | (i < h), "head").when(i >= n - tail, "tail").when(x.rlike(ERROR_HINTS), "error")
+        rows = lambda h: F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("line"), part(x, i, h).alias("part"))), lambda r: r["part"].isNotNull())
+        return let(head, lambda h: let(rows(h), picked))
+
+    own = df.select(key, F.explode_outer(let(F.split(text, "\n"), of)).alias("r")).where("r is not null")  # outer, as all would run again in a filter
+    return own.select(key, F.col("r.i").cast("long").alias("i"), "r.line", "r.part")
 
 
 def collapsed_runs(df: DataFrame, key: str, minimum: int = 3, text: str = "text") -> DataFrame:
