@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import B, K1
+from tessera.operators.ranking import K1, QUERIES, B
 from tessera.sources.tables import written
 
 #: Terms are dealt into so many folders, so a search of few terms reads few of them.
@@ -37,44 +38,69 @@ class FullText:
 
 
 def build(counts: DataFrame, key: str = "doc_id", shard_docs: int = 256) -> FullText:
-    """Index a table of key, term, tf."""
+    """Index a table of key, term, tf, and len, if given, the sum of a key's tf. Counts are shuffled by bucket and shard for the blocks, without len by key before."""
     counts = counts.where(F.col(key).isNotNull() & F.col("term").isNotNull())
-    lengths = counts.groupBy(key).agg(F.sum("tf").alias("len"))
-    total = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    total = counts.groupBy(key).agg(F.sum("tf").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n, avg = total["n"], max(1.0, total["avg"] or 1.0)
     part = F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("len") / avg))
-    posts = counts.join(lengths, key).select("term", F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // shard_docs)))).alias("shard"), F.struct(F.col(key).alias("doc"), part.alias("part"), F.col("tf")).alias("p"))
-    blocks = posts.groupBy("term", "shard").agg(F.max("p.part").alias("top"), F.collect_list("p").alias("posts"))  # a shard's documents at most
-    blocks = written(blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartition("bucket", F.pmod("shard", F.lit(16))).sortWithinPartitions("bucket", "term"), "blocks", ["bucket"])
+    known = counts if "len" in counts.columns else counts.withColumn("len", F.sum("tf").over(Window.partitionBy(key)))
+    posts = known.select("term", F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // shard_docs)))).alias("shard"), key, "tf", "len")
+    dealt = posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).withColumn("_s", F.pmod("shard", F.lit(16))).repartition("bucket", "_s")
+    post = F.struct(F.col(key).alias("doc"), part.alias("part"), F.col("tf"))  # parts after the shuffle, which small whole numbers pass in less
+    blocks = dealt.groupBy("bucket", "_s", "term", "shard").agg(F.max(part).alias("top"), F.collect_list(post).alias("posts"))  # a shard's documents at most
+    blocks = written(blocks.select("term", "shard", "top", "posts", "bucket").sortWithinPartitions("bucket", "term"), "blocks", ["bucket"])
     df = blocks.groupBy("term").agg(F.sum(F.size("posts")).alias("df"))
     return FullText(blocks, written(df.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms"), n, avg)
 
 
 def _scored(index: FullText, asked: DataFrame, pairs: DataFrame, k: int, places: int) -> DataFrame:
-    """query_id, doc, score, matched: the k best of each pair (query_id, shard, least) that reach ``least``."""
+    """query_id, doc, score, matched: the k best of each pair (query_id, shard, least) that reach ``least``.
+
+    A shard's blocks go to one task once, however many queries ask for them; the queries' terms are broadcast in blocks of queries.
+    """
+    n = asked.select("query_id").distinct().count()
+    parts = max(1, -(-n // QUERIES))
+    of = lambda df, i: df.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else df
+    return reduce(DataFrame.unionByName, [_scored_block(index, of(asked, i), of(pairs, i), k, places) for i in range(parts)])
+
+
+def _scored_block(index: FullText, asked: DataFrame, pairs: DataFrame, k: int, places: int) -> DataFrame:
     slack = 10.0**-places
-    wanted = pairs.join(asked, "query_id")
-    met = wanted.join(index.blocks, ["bucket", "term", "shard"])
-    groups = met.groupBy("query_id", "shard").agg(F.max("least").alias("least"), F.collect_list(F.struct("term", "idf", "posts")).alias("blocks"))
-    flat = groups.select("query_id", "least", F.array_sort("blocks").alias("b")).select(  # in the order of the terms, so that sums don't depend on the shuffle
-        "query_id", "least", F.flatten(F.transform("b", lambda x: F.transform(x["posts"], lambda p: F.struct(p["doc"].alias("doc"), (x["idf"] * p["part"]).alias("part"), p["tf"].cast("long").alias("tf"))))).alias("posts"))
+    terms: dict = {}
+    for r in asked.select("query_id", "term", "idf").collect():  # QUERIES queries at most
+        terms.setdefault(r["query_id"], []).append((r["term"], r["idf"]))
+    shared = asked.sparkSession.sparkContext.broadcast({q: sorted(t) for q, t in terms.items()})
+    wanted = pairs.groupBy("shard").agg(F.collect_list(F.struct("query_id", "least")).alias("asks"))
+    met = index.blocks.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").join(wanted.select("shard"), "shard", "left_semi")
+    shards = met.groupBy("shard").agg(F.collect_list(F.struct("term", "posts")).alias("blocks")).join(wanted, "shard").select("blocks", "asks")
     q_type = pairs.schema["query_id"].dataType.simpleString()
     d_type = index.blocks.schema["posts"].dataType.elementType["doc"].dataType.simpleString()
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                posts = b.column(2)[i].values
+                blocks, asks = b.column(0)[i].values, b.column(1)[i].values
+                at = {t: j for j, t in enumerate(blocks.field("term").to_pylist())}
+                lists = blocks.field("posts")
+                start = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                posts = lists.flatten()
                 codes = posts.field("doc").dictionary_encode()
-                at = codes.indices.to_numpy()
-                score = np.round(np.bincount(at, posts.field("part").to_numpy()), PLACES)
-                tf = np.bincount(at, posts.field("tf").to_numpy()).astype(np.int64)
-                keep = np.flatnonzero(score >= b.column(1)[i].as_py() - slack)
-                if len(keep) > k:
-                    keep = keep[score[keep] >= np.partition(score[keep], -k)[-k] - slack]  # with all that may tie
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(keep), b.column(0).type), codes.dictionary.take(pa.array(keep)), pa.array(score[keep]), pa.array(tf[keep])], names=["query_id", "doc", "score", "matched"])
-
-    return flat.mapInArrow(best, f"query_id {q_type}, doc {d_type}, score double, matched long")
+                doc, part, tf = codes.indices.to_numpy(), posts.field("part").to_numpy(), posts.field("tf").to_numpy()
+                size = len(codes.dictionary)
+                for q, least in zip(asks.field("query_id").to_pylist(), asks.field("least").to_pylist()):
+                    # in the order of the terms, so that sums don't depend on the shuffle
+                    own = [(slice(start[at[t]], start[at[t] + 1]), idf) for t, idf in shared.value[q] if t in at]
+                    if not own:
+                        continue
+                    docs = np.concatenate([doc[s] for s, _ in own])
+                    score = np.round(np.bincount(docs, np.concatenate([part[s] * idf for s, idf in own]), size), PLACES)
+                    matched = np.bincount(docs, np.concatenate([tf[s] for s, _ in own]), size).astype(np.int64)
+                    keep = np.flatnonzero((matched > 0) & (score >= least - slack))
+                    if len(keep) > k:
+                        keep = keep[score[keep] >= np.partition(score[keep], -k)[-k] - slack]  # with all that may tie
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(keep), asks.field("query_id").type), codes.dictionary.take(pa.array(keep)), pa.array(score[keep]), pa.array(matched[keep])], names=["query_id", "doc", "score", "matched"])
+
+    return shards.mapInArrow(best, f"query_id {q_type}, doc {d_type}, score double, matched long")
 
 
 def search(index: FullText, queries: DataFrame, k: int, first: int = 4, places: int = PLACES) -> DataFrame:
