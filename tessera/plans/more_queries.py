@@ -208,7 +208,10 @@ def _(spark, d):
 def _most_overlap(spark, d, condition: str = "true"):
     """The five documents with the most words of each benchmark item; by default of all items."""
     q = table(spark, d, "benchmark").where(condition).select("item_id", F.explode(F.split("text", " ")).alias("w")).select("item_id", F.lower("w").alias("w")).distinct()
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", " "), F.lower))).alias("w"))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    # dealt by document first: a task holds the pairs of its own documents, and they are counted where they are
+    docs = texts.repartition(n, "doc_id").select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", " "), F.lower))).alias("w"))
     s = docs.join(q, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
     w = Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id")
     return s.withColumn("rk", F.row_number().over(w)).where("rk <= 5").select("item_id", "doc_id", "overlap")
