@@ -170,15 +170,19 @@ def _(spark, d):
  SELECT path, name, a AS start, b AS "end", max(CAST(score AS DOUBLE)) AS score FROM (SELECT path, name, a, b, score FROM m UNION ALL SELECT * FROM e) GROUP BY 1, 2, 3, 4""",
 )
 def _(spark, d):
+    from tessera.sources.tables import dealt, parts
+
     k = F.col("o_orderkey")
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
     place = [F.col("o_custkey").alias("path"), F.concat(F.lit("o"), k).alias("name"), k.alias("start"), (k + 3).alias("end")]
     containers = orders.select(*place, F.when(k % 3 == 0, " export function f").when(k % 3 == 1, "class c").alias("signature"))
     line = F.col("l_linenumber")
-    own = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(orders, F.col("l_orderkey") == k)
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    n = parts(lines)
+    own = dealt(lines, n, "l_orderkey").join(dealt(orders, n, "o_orderkey"), F.col("l_orderkey") == k)
     members = own.select(F.col("o_custkey").alias("path"), F.concat(F.lit("l"), k, F.lit("."), line).alias("name"), F.concat(F.lit("o"), k).alias("parent"), (k + line % 4).alias("start"), (k + line).alias("end"), F.col("l_quantity").cast("double").alias("score"))
     named = orders.where(k % 5 == 0).select(*place, F.lit("").alias("parent"), F.lit(20.0).alias("score"))
-    return promotion.parent_credit(members.unionByName(named), containers)
+    return promotion.parent_credit(members.unionByName(named), containers, n)
 
 
 @query("r11_query_views")
