@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import neighbors
+from tessera.sources.tables import dealt
 
 # Forms of imports, re-exports and uses; the clause is the first group, the module's name the second.
 NAMED_IMPORT = r"(?Us)\bimport\s+(?:type\s+)?\{([^}]+)\}\s+from\s+['\"]([^'\"]+)['\"]"
@@ -22,6 +22,8 @@ KINDS = ("semantic-call", "semantic-ref", "reexport", "imported-by", "imports",
 
 # What a module's name may lack, in the order of preference.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+# Fixed value: slices of the sources that import the same module.
+SLICES = 8
 
 
 def plain_path(path: Column) -> Column:
@@ -32,19 +34,27 @@ def plain_path(path: Column) -> Column:
     return F.array_join(F.aggregate(parts, none, lambda a, p: F.when(p == "..", up(a)).otherwise(F.concat(a, F.array(p)))), "/")
 
 
+def _with_base(refs: DataFrame) -> DataFrame:
+    """References by a relative name, with ``_base``, the path it stands for without its ending."""
+    folder = F.when(F.instr("src", "/") > 0, F.regexp_replace("src", "/[^/]*$", "")).otherwise("")
+    return refs.where(F.col("module").startswith(".")).withColumn("_base", plain_path(F.concat_ws("/", folder, "module")))
+
+
+def _known(paths: DataFrame) -> DataFrame:
+    """_base, path: each known path under as many bases as it has endings (three at most); of a base's paths the first by preference."""
+    path, tails = F.col("path"), [*ENDINGS, *["/index" + e for e in ENDINGS[1:]]]
+    bases = F.array_compact(F.array(*[F.when(path.endswith(e), F.struct(F.left(path, F.length(path) - len(e)).alias("_base"), F.lit(i).alias("_i"))) for i, e in enumerate(tails)]))
+    return paths.select("path", F.explode(bases).alias("b")).select("b._base", "b._i", "path").groupBy("_base").agg(F.min_by("path", "_i").alias("path"))
+
+
 def resolve_modules(refs: DataFrame, paths: DataFrame) -> DataFrame:
     """src, module, path: the known path a relative module name stands for; names without one are left out.
 
-    refs: src, module; paths: path. Each known path stands for as many bases as it has endings (three at most), so a name is joined
-    once, by its base, and the base's path that comes first by preference stays.
+    refs: src, module; paths: path. A name is joined once, by its base, and the base's path that comes first by preference stays.
     """
-    folder = F.when(F.instr("src", "/") > 0, F.regexp_replace("src", "/[^/]*$", "")).otherwise("")
-    own = refs.where(F.col("module").startswith(".")).select("src", "module", plain_path(F.concat_ws("/", folder, "module")).alias("_base"))
-    path, tails = F.col("path"), [*ENDINGS, *["/index" + e for e in ENDINGS[1:]]]
-    bases = F.array_compact(F.array(*[F.when(path.endswith(e), F.struct(F.left(path, F.length(path) - len(e)).alias("_base"), F.lit(i).alias("_i"))) for i, e in enumerate(tails)]))
-    known = paths.select("path", F.explode(bases).alias("b")).select("b._base", "b._i", "path").groupBy("_base").agg(F.min_by("path", "_i").alias("path"))
+    own = _with_base(refs.select("src", "module"))
     # rows of one name share its base, so they are together already when they are made distinct
-    return own.join(known, "_base").groupBy("_base", "src", "module").agg(F.first("path").alias("path")).drop("_base")
+    return own.join(_known(paths), "_base").groupBy("_base", "src", "module").agg(F.first("path").alias("path")).drop("_base")
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -99,21 +109,34 @@ def _import_keys(value: Column) -> Column:
     return F.array(name, _last(name, r"\."))
 
 
-def typed_edges(files: DataFrame, refs: DataFrame) -> DataFrame:
+def _met(many: DataFrame, one: DataFrame, key: str, by: str, parts: int | None) -> DataFrame:
+    """Rows of ``many`` with those of ``one`` that share their key.
+
+    A module that most sources import is a key of most rows: a key's rows are cut by ``by`` into slices, each with its own copy of ``one``.
+    """
+    many = many.withColumn("_slice", F.pmod(F.xxhash64(by), F.lit(SLICES)).cast("int"))
+    one = one.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return dealt(many, parts, key, "_slice").join(dealt(one, parts, key, "_slice"), [key, "_slice"]).drop("_slice")
+
+
+def typed_edges(files: DataFrame, refs: DataFrame, parts: int | None = None) -> DataFrame:
     """src, dst, kind: for each file its neighbours, each by its surest kind in the order of KINDS.
 
     files: path and arrays symbols, calls, imports; refs as ``module_refs`` gives them. A file's stem is joined with what others import, and
-    its symbols with what others call: two equi-joins of distinct keys, read in both directions. References resolved to a known
-    path win over both; of several kinds to one path a call does, then the first in order.
+    its symbols with what others call: two equi-joins, read in both directions. References resolved to a known path win over both; of
+    several kinds to one path a call does, then the first in order. References are reduced to one for each name in a source before
+    they are resolved, and edges to one for each pair, over ``parts`` partitions (else the session's number).
     """
     stem = F.lower(F.regexp_replace(_last(F.col("path"), "/"), r"(?<=.)\.[^.]+$", ""))
-    keys = lambda name, key: files.select(F.col("path").alias(name), F.explode(key).alias("key")).where("key <> ''").distinct()
+    keys = lambda name, key: files.select(F.col("path").alias(name), F.explode(F.array_distinct(key)).alias("key")).where("key <> ''")
     importers = keys("a", F.flatten(F.transform("imports", _import_keys)))
     callers = keys("a", F.transform("calls", lambda c: F.lower(_last(c, r"\."))))
-    met = importers.join(keys("b", F.array(stem)), "key").select("a", "b", F.lit("imports").alias("to"), F.lit("imported-by").alias("back"))
-    met = met.unionByName(callers.join(keys("b", F.transform("symbols", F.lower)), "key").select("a", "b", F.lit("calls").alias("to"), F.lit("calls-symbol").alias("back")))
-    plain = met.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("to").alias("kind")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("back").alias("kind")))).alias("e")).select("e.*")
-    own = refs.join(resolve_modules(refs, files).withColumnRenamed("path", "dst"), ["src", "module"])
+    way = lambda src, dst, kind: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"))
+    ways = lambda to, back: F.inline(F.array(way("a", "b", to), way("b", "a", back)))
+    plain = _met(importers, keys("b", F.array(stem)).distinct(), "key", "a", parts).select(ways("imports", "imported-by"))
+    plain = plain.unionByName(callers.join(keys("b", F.transform("symbols", F.lower)).distinct(), "key").select(ways("calls", "calls-symbol")))
     first = F.struct((F.col("kind") != "semantic-call").alias("later"), "module", "symbol", "local", "kind")
-    semantic = own.groupBy("src", "dst").agg(F.min(first)["kind"].alias("kind"))
-    return neighbors(plain.unionByName(semantic), KINDS)
+    named = _with_base(dealt(refs, parts, "src").groupBy("src", "module").agg(F.min(first).alias("first")))
+    semantic = _met(named, _known(files), "_base", "src", parts).select("src", F.col("path").alias("dst"), F.lit(-1).alias("rank"), "first.*")
+    edges = plain.unionByName(semantic, allowMissingColumns=True).where("src <> dst")
+    return dealt(edges, parts, "src", "dst").groupBy("src", "dst").agg(F.min(F.struct("rank", "later", "module", "symbol", "local", "kind"))["kind"].alias("kind"))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query, table
+from tessera.sources.tables import dealt, parts, written
 
 
 def supplier_sources(spark, d):
     """path, text, symbols, calls, imports: a file for each supplier that takes a name of file ``part % 25 + 1`` for each kind of line it sold."""
-    sold = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 25 + 1).alias("t"), (F.col("l_linenumber") % 3).alias("k")).distinct()
+    lines = table(spark, d, "lineitem")
+    sold = lines.select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 25 + 1).alias("t"), (F.col("l_linenumber") % 3).alias("k")).distinct()
     name, module = F.concat_ws("_", F.concat(F.lit("v"), "t"), "k"), F.concat(F.lit("./s"), "t")
     line = F.when(F.col("k") == 2, F.concat(F.lit("export { "), name, F.lit(" } from '"), module, F.lit("'")))
     line = line.otherwise(F.concat(F.lit("import { "), name, F.lit(" } from '"), module, F.lit("'\n"), name, F.when(F.col("k") == 0, "()").otherwise(";")))
-    texts = sold.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"), F.collect_set(F.when(F.col("k") != 2, module)).alias("imports"))
+    texts = dealt(sold, parts(lines), "s").groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"), F.collect_set(F.when(F.col("k") != 2, module)).alias("imports"))
     own = table(spark, d, "supplier").select(F.col("s_suppkey").alias("s")).join(texts, "s", "left")
     return own.select(
         F.concat(F.lit("s"), "s", F.lit(".ts")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.array(F.concat(F.lit("f"), "s")).alias("symbols"),
@@ -41,8 +43,7 @@ _J6 = f"""WITH {_SOLD}, f AS (SELECT DISTINCT s_suppkey AS s FROM supplier), l A
 @query("j6_typed_edges", _J6)
 def _(spark, d):
     from tessera.operators.modules import module_refs, typed_edges
-    from tessera.sources.tables import written
 
     files = written(supplier_sources(spark, d), "files")  # read for the references, the paths and the keys of both joins
     refs = written(module_refs(files.withColumnRenamed("path", "src")), "refs")
-    return typed_edges(files, refs)
+    return typed_edges(files, refs, parts(refs))
